@@ -17,6 +17,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, _read(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,5 +33,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_line_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op6_line_dedup, op7_toxicity, op10_token_counts)}
 SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
