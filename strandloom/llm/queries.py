@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandloom.llm import line_dedup
 
@@ -11,6 +12,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(_read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.line_dedup import dedup_lines
 
@@ -33,5 +40,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_line_dedup, op7_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op4_jaccard_join, op6_line_dedup, op7_toxicity, op10_token_counts)}
 SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
