@@ -32,6 +32,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.log_bilinear import score_texts
+
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,5 +46,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_jaccard_join, op6_line_dedup, op7_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op4_jaccard_join, op6_line_dedup, op7_toxicity, op9_lm_scoring, op10_token_counts)}
 SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
