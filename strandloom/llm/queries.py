@@ -18,6 +18,20 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.decontaminate import find_leaks
+
+    found = find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    leaked = F.filter("_matches", lambda m: m["coverage"] >= 0.8)
+    return found.select(
+        "doc_id",
+        "contaminated",
+        F.transform(leaked, lambda m: m["item_id"]).alias("item_ids"),
+        F.coalesce(F.array_max(F.transform("_matches", lambda m: m["coverage"])), F.lit(0.0)).alias("max_coverage"),
+        F.size("_matches").alias("n_seeded_items"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.line_dedup import dedup_lines
 
@@ -46,5 +60,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_jaccard_join, op6_line_dedup, op7_toxicity, op9_lm_scoring, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op4_jaccard_join, op5_decontamination, op6_line_dedup, op7_toxicity, op9_lm_scoring, op10_token_counts)}
 SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
