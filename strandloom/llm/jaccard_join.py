@@ -146,7 +146,7 @@ def _verify(batches: Iterator[pa.RecordBatch], t: Fraction, n: int) -> Iterator[
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: _k (row key), id, class_id, n_links.
+    """One row for each row of docs: _k (row key), id, class_id, n_links, root (the class's own key, null without words).
 
     Two texts are linked if the Jaccard coefficient of their sets of n-word shingles is at least `threshold`. class_id is
     the smallest id among the documents a document is connected with by links, its own if there are none; n_links counts
@@ -193,8 +193,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     of_set = found.groupBy("set_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     all_sets = classes.join(of_set, "set_id", "left").select("set_id", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set_id").alias("root"))
     least = all_sets.groupBy("root").agg(F.min("least").alias("class_id"))
-    told = all_sets.join(least, "root").select("set_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return signed.select("_k", "id", "set_id").join(told, "set_id", "left").select("_k", "id", F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    told = all_sets.join(least, "root").select("set_id", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return signed.select("_k", "id", "set_id").join(told, "set_id", "left").select("_k", "id", F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,15 +202,12 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str =
 
     Texts without words are no copies of each other and all stay; rows equal in id and text are, and one stays.
     """
-    joined = jaccard_join(docs, threshold, n, id_col=id_col, text_col=text_col)
-    first = joined.where("n_links > 0").groupBy("class_id").agg(F.min(F.struct("id", "_k")).alias("f")).select("f._k")
-    go = joined.where("n_links > 0").select("_k").join(first, "_k", "left_anti").distinct()
-    held = docs.withColumn("_key", row_key(id_col, text_col))
-    kept = held.join(go.withColumnRenamed("_k", "_key"), "_key", "left_anti")
-    twice = kept.groupBy("_key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_key")
+    linked = stash(jaccard_join(docs, threshold, n, id_col=id_col, text_col=text_col).where("n_links > 0").select("_k", "id", "root"))
+    first = linked.groupBy("root").agg(F.min(F.struct("id", "_k")).alias("f")).select(F.col("f._k").alias("_k"))
+    go = linked.select("_k").distinct().join(first, "_k", "left_anti").withColumnRenamed("_k", "_key")
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), row_key(id_col, text_col).alias("_key")).join(go, "_key", "left_anti")
+    twice = linked.groupBy("_k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("_k").alias("_key"))
     if twice.limit(1).count():
-        worded = joined.where("n_links > 0").select(F.col("_k").alias("_key")).distinct()
-        twice = twice.join(worded, "_key", "left_semi")
-        once = kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"])
+        once = kept.join(twice, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row", "_key")
         kept = kept.join(twice, "_key", "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -12,6 +12,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from strandloom.llm.sentence_pieces import decode_pieces, encode_pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = decode_pieces(encode_pieces(_read(spark, sf_dir, "documents"), model), model)
+    return rows.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", "score", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.jaccard_join import jaccard_join
 
@@ -60,5 +70,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_jaccard_join, op5_decontamination, op6_line_dedup, op7_toxicity, op9_lm_scoring, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_sentence_pieces, op4_jaccard_join, op5_decontamination, op6_line_dedup, op7_toxicity, op9_lm_scoring, op10_token_counts)}
 SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
