@@ -1,15 +1,69 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: five stages over documents, each written and read again before the next.
+
+Every stage takes (spark, docs, sf_dir), works on all that the one before kept and returns the columns of documents; the
+last returns tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among docs, doesn't call toxic."""
+    from strandloom.llm.toxicity import fit_toxicity, score_toxicity
+
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that later occurrences of a three-line window cover; n_chars follows the text."""
+    from strandloom.llm.line_dedup import dedup_lines
+
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each class of texts linked at a Jaccard coefficient of 0.8 or more."""
+    from strandloom.llm.jaccard_join import keep_one
+
+    return keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which tiles cover less than 0.8 of every benchmark item."""
+    from strandloom.llm.decontaminate import find_leaks
+
+    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token_ids, n_tokens, and whether the tokens decode to the text."""
+    import public_tokenizers
+
+    from strandloom.llm.sentence_pieces import decode_pieces, encode_pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = decode_pieces(encode_pieces(docs, model), model)
+    return rows.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("SentencePiece encoding and decoding", encode),
+]
 
-STAGES: list = []
+#: SQL can't express a trained classifier or a Viterbi search; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over documents."""
+    """The stages in turn over documents, each written to the shared folder before the next."""
     from strandloom.llm.common import stash
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
