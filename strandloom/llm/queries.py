@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import line_dedup
+from strandloom.llm import ball_tree, line_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.ball_tree import quantised, top_k
+
+    vectors = quantised(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,5 +77,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentence_pieces, op4_jaccard_join, op5_decontamination, op6_line_dedup, op7_toxicity, op9_lm_scoring, op10_token_counts)}
-SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_sentence_pieces, op4_jaccard_join, op5_decontamination, op6_line_dedup, op7_toxicity, op9_lm_scoring, op10_token_counts)}
+SQL: dict[str, str] = {"op1_top_k": ball_tree.SQL, "op6_line_dedup": line_dedup.SQL}
