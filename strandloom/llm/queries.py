@@ -29,6 +29,14 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", "score", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.sanitise import find_private
+
+    found = find_private(_read(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["s"].cast("string"), s["e"].cast("string"))), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.jaccard_join import jaccard_join
 
@@ -77,5 +85,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_sentence_pieces, op4_jaccard_join, op5_decontamination, op6_line_dedup, op7_toxicity, op9_lm_scoring, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_sentence_pieces, op3_private_data, op4_jaccard_join, op5_decontamination, op6_line_dedup, op7_toxicity, op9_lm_scoring, op10_token_counts)}
 SQL: dict[str, str] = {"op1_top_k": ball_tree.SQL, "op6_line_dedup": line_dedup.SQL}
