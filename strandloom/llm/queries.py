@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import ball_tree, line_dedup
+from strandloom.llm import ball_tree, line_dedup, preferences
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,6 +71,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.preferences import conversations, format_preferences, swapped_pairs
+
+    rows = format_preferences(swapped_pairs(conversations(_read(spark, sf_dir, "conversations"))))
+    places = [F.array_join(F.transform(c, lambda m: F.concat_ws(":", m["s"].cast("string"), m["e"].cast("string"))), ",").alias(c) for c in ("chosen_mask", "rejected_mask")]
+    return rows.select("pair_id", "n_common", "prompt", "chosen", "rejected", *places)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.log_bilinear import score_texts
 
@@ -85,5 +93,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_sentence_pieces, op3_private_data, op4_jaccard_join, op5_decontamination, op6_line_dedup, op7_toxicity, op9_lm_scoring, op10_token_counts)}
-SQL: dict[str, str] = {"op1_top_k": ball_tree.SQL, "op6_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_sentence_pieces, op3_private_data, op4_jaccard_join, op5_decontamination, op6_line_dedup, op7_toxicity, op8_preferences, op9_lm_scoring, op10_token_counts)}
+SQL: dict[str, str] = {"op1_top_k": ball_tree.SQL, "op6_line_dedup": line_dedup.SQL, "op8_preferences": preferences.SQL}
