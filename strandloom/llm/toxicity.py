@@ -71,17 +71,20 @@ class SubwordBag:
         docs = []
         for t in texts:
             ids, n = np.unique(np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int64), return_counts=True)
-            docs.append((ids, n.astype(np.float32)))
+            docs.append((ids.astype(np.int32), n.astype(np.float32)))
         if not number or y.min(initial=1) == y.max(initial=0):
             rate_of = (y.sum() + 1) / (len(y) + 2)
             self.bias = np.log(np.array([1 - rate_of, rate_of], dtype=np.float32))
             self.emb[:] = 0
             return self
-        who, what = subwords(list(number))
-        order = np.argsort(who, kind="stable")
-        who, what = who[order], what[order]
-        at = np.searchsorted(who, np.arange(len(number) + 1))
-        subs = np.diff(at).astype(np.float32)
+        known, what, subs = list(number), [], []
+        for first in range(0, len(known), 20_000):
+            part = known[first : first + 20_000]
+            who, found = subwords(part)
+            what.append(found[np.argsort(who, kind="stable")].astype(np.int32))
+            subs.append(np.bincount(who, minlength=len(part)))
+        what, subs = np.concatenate(what), np.concatenate(subs)
+        at = np.concatenate([[0], np.cumsum(subs)])
         rng, t = np.random.default_rng(seed), 0
         state = [(np.zeros_like(x), np.zeros_like(x)) for x in (self.emb, self.out, self.bias)]
 
@@ -99,7 +102,7 @@ class SubwordBag:
                 doc = np.repeat(np.arange(len(part)), [len(docs[i][0]) for i in part])
                 used, word = np.unique(ids, return_inverse=True)
                 flat = what[_ranges(at[used], at[used + 1])]
-                owner = np.repeat(np.arange(len(used)), subs[used].astype(np.int64))
+                owner = np.repeat(np.arange(len(used)), subs[used])
                 total = np.maximum(np.bincount(doc, n * subs[ids], len(part)), 1)
                 # between two classes only the difference of their columns counts, in the scores and in the gradients
                 gap = self.emb @ (self.out[:, 1] - self.out[:, 0])
