@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from strandloom.plans import alignment, formats, profiles, scalars
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = alignment.QUERIES | profiles.QUERIES | scalars.QUERIES | formats.QUERIES
+SQL: dict[str, str] = alignment.SQL | profiles.SQL | scalars.SQL | formats.SQL
