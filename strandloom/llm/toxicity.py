@@ -64,8 +64,8 @@ class SubwordBag:
         self.out = rng.normal(0, 10.0, (DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, dtype=np.float32)
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 12, batch: int = 256, rate: float = 0.03, decay: float = 2e-3, toxic_weight: float = 2.0, seed: int = 11) -> "SubwordBag":
-        """Adam over minibatches; embeddings and softmax move together, and only buckets that the batch touches do."""
+    def fit(self, texts: list[str], labels: list[int], epochs: int = 12, batch: int = 256, rate: float = 0.03, decay: float = 2e-3, toxic_weight: float = 2.0, least_steps: int = 240, seed: int = 11) -> "SubwordBag":
+        """Adam over minibatches; embeddings and softmax move together; a small sample is gone through more often, until `least_steps` steps are made."""
         y = np.array(labels, dtype=np.float32)
         number: dict[str, int] = {}
         docs = []
@@ -93,6 +93,7 @@ class SubwordBag:
             v += 0.001 * (g * g - v)
             x -= np.float32(now / (1 - 0.9**t)) * m / (np.sqrt(v / np.float32(1 - 0.999**t)) + np.float32(1e-8))
 
+        epochs = max(epochs, -(-least_steps // max(1, len(docs) // batch)))
         for epoch in range(epochs):
             now = rate * (1 - epoch / epochs)
             for part in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // batch)):
