@@ -22,14 +22,14 @@ def karlin_bits(score: Column | str, p: dict = KARLIN) -> Column:
     return (p["lambda"] * _col(score) - p["log_k"]) / math.log(2)
 
 
-def karlin_evalue(score: Column | str, size: Column | str | float, p: dict = KARLIN) -> Column:
-    """K N exp(-lambda S'), where S' is the score that the bits stand for."""
-    back = (karlin_bits(score, p) * math.log(2) + p["log_k"]) / p["lambda"]
+def karlin_evalue(bits: Column | str, size: Column | str | float, p: dict = KARLIN) -> Column:
+    """K N exp(-lambda S), where S is the score that the bits stand for."""
+    back = (_col(bits) * math.log(2) + p["log_k"]) / p["lambda"]
     return p["k"] * _col(size) * F.exp(-p["lambda"] * back)
 
 
-def profile_evalue(score: Column | str) -> Column:
-    return karlin_evalue(score, PROFILE_DATABASE)
+def profile_evalue(bits: Column | str) -> Column:
+    return karlin_evalue(bits, PROFILE_DATABASE)
 
 
 def pfam_evalue(bits: Column | str, size: Column | str | float, p: dict = PFAM_PROTEIN) -> Column:

@@ -105,6 +105,11 @@ def blosum62() -> Matrix:
     return Matrix("BLOSUM62", full.astype(np.int32))
 
 
+def simple(match: int = 2, mismatch: int = -1) -> Matrix:
+    """One score for equal residues and one for all others; with a gap of -2 the usual scheme of nucleotides."""
+    return Matrix(f"simple({match},{mismatch})", np.where(np.eye(24, dtype=bool), match, mismatch).astype(np.int32))
+
+
 def parse_matrix(name: str, text: str) -> Matrix:
     """A matrix in the usual text format: a header of codes, then a row for each; comments start with #. So any other matrix is a parameter."""
     lines = [x.split() for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
@@ -123,7 +128,7 @@ def parse_matrix(name: str, text: str) -> Matrix:
 
 def read_matrices(spark: SparkSession, path: str) -> dict[str, Matrix]:
     """Matrices in the files of a path that Spark reads, by file name without its suffix. A matrix is some kB."""
-    rows = spark.read.option("wholetext", True).text(path).select("value", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name")).collect()
+    rows = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name")).collect()
     return {r["name"]: parse_matrix(r["name"], r["value"]) for r in rows}
 
 

@@ -82,7 +82,7 @@ def interchange_records(spark, d):
 
 
 _LOG_K, _L, _K = st.KARLIN["log_k"], st.KARLIN["lambda"], st.KARLIN["k"]
-_E = f"log10({_K} * {{n}} * exp(-{_L} * ((bits * ln(2) + {_LOG_K}) / {_L})))"
+_E = f"log10({_K} * {{n}} * exp(-{_L} * ((s * ln(2) + {_LOG_K}) / {_L})))"
 QUERIES = {f.__name__: f for f in (residue_histogram, parsed_sequences, matrix_cells, matrix_checks, pair_scores, score_statistics, node_stats, contiguous_batches, tiles, chunked_reads, interchange_records)}
 _IDX = lambda a, miss="NULL": f"(CASE WHEN instr('{a}', aa) > 0 THEN instr('{a}', aa) - 1 ELSE {miss} END)::INT"
 _LONG = "[" + ", ".join(f"'{x}'" for x in rs.THREE_LETTER) + "]"

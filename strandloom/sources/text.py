@@ -42,7 +42,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(id, description, sequence, quality, error) of files whose records are four lines; each file is read whole, as its lines can't be told apart by themselves."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("l"))
     rows = lines.select(F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.size("l") / 4).cast("int") - 1), lambda i: F.slice("l", i * 4 + 1, 4))).alias("r")).where((F.size("r") > 1) | (F.get("r", F.lit(0)) != ""))
     at = lambda k: F.get("r", F.lit(k))
     head = F.regexp_replace(at(0), "^@", "")
