@@ -68,21 +68,39 @@ def _links(sets: list[np.ndarray], left: int, t: Fraction) -> np.ndarray:
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = counts > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[inverse]
-    row, col = owner[keep], column[inverse[keep]]
+    keep = counts[inverse] > 1
+    order = np.argsort(inverse[keep], kind="stable")
+    row, column = owner[keep][order], inverse[keep][order]
     n, two = len(sets), left < len(sets)
     a, b = (left, n - left) if two else (n, n)
     common = np.zeros((a, b), dtype=np.float32)  # counts below 2**24 are exact
-    width = max(64, min(4096, int(16e6 // (4 * n))))
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for at in range(0, int(shared.sum()), width):
-        lo, hi = np.searchsorted(col, [at, at + width])
-        part = np.zeros((n, width), dtype=np.float32)
-        part[row[lo:hi], col[lo:hi] - at] = 1
-        common += part[:left] @ (part[left:] if two else part).T
+    if len(row):
+        # shingles that stand in the same sets count together: columns are told apart by a sum of the sets' random numbers
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(column) > 0]))
+        degree = np.diff(np.concatenate([starts, [len(row)]]))
+        with np.errstate(over="ignore"):
+            pattern = np.add.reduceat(mix(np.arange(1, n + 1, dtype=np.uint64))[row], starts)
+        _, first, weight = np.unique(np.stack([pattern, degree.astype(np.uint64)]), axis=1, return_index=True, return_counts=True)
+        dense = degree[first] > max(8, n // 64)
+        for d in np.unique(degree[first[~dense]]):  # few sets: their pairs are counted one by one
+            some = ~dense & (degree[first] == d)
+            members = row[starts[first[some]][:, None] + np.arange(d)]
+            x, y = np.repeat(members, d, axis=1), np.tile(members, (1, d))
+            w = np.repeat(weight[some], d * d)
+            x, y = x.reshape(-1), y.reshape(-1)
+            if two:
+                cross = (x < left) & (y >= left)
+                x, y, w = x[cross], y[cross] - left, w[cross]
+            common += np.bincount(x * b + y, w, a * b).reshape(a, b).astype(np.float32)
+        width = max(64, min(4096, int(16e6 // (4 * n))))
+        many = first[dense]
+        for at in range(0, len(many), width):
+            cols = many[at : at + width]
+            part = np.zeros((n, len(cols)), dtype=np.float32)
+            for k, c in enumerate(cols.tolist()):
+                part[row[starts[c] : starts[c] + degree[c]], k] = 1
+            w = weight[dense][at : at + width].astype(np.float32)
+            common += (part[:left] * w) @ (part[left:] if two else part).T
     size = np.array([len(s) for s in sets], dtype=np.int64)
     both = common.astype(np.int64)
     union = size[:left, None] + (size[left:] if two else size)[None, :] - both
