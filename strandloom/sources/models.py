@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,5 +41,81 @@ def detect_format(content: Column | str) -> Column:
         F.when(c.rlike(r"^HMMER3/"), "HMMER3")
         .when(c.rlike(r"# STOCKHOLM|(?m)^#=GF "), "STOCKHOLM")
         .when(c.rlike(r"(?m)^# hmmsearch|(?m)^Query:\s"), "HMMSEARCH")
-        .when(c.rlike(r"IPR\d{6}"), "INTERPRO")
+        .when(c.rlike(r"(?m)^(ID|AC)\s+IPR\d{6}"), "INTERPRO")
     )
+
+
+# Where each format keeps a field, as a pattern over the whole text.
+FIELDS = {
+    "HMMER3": {"name": r"(?m)^NAME\s+(\S+)", "accession": r"(?m)^ACC\s+(\S+)", "description": r"(?m)^DESC\s+(.*?)\s*$", "length": r"(?m)^LENG\s+(\d+)"},
+    "STOCKHOLM": {"name": r"(?m)^#=GF ID\s+(\S+)", "accession": r"(?m)^#=GF AC\s+(\S+)", "description": r"(?m)^#=GF DE\s+(.*?)\s*$", "length": r"(?m)^#=GF LEN\s+(\d+)"},
+    "HMMSEARCH": {"name": r"(?m)^Query:\s+(\S+)", "accession": r"(?m)^Accession:\s+(\S+)", "description": r"(?m)^Description:\s*(.*?)\s*$", "length": r"(?m)^Query:.*\[M=\s*(\d+)\s*\]"},
+    "INTERPRO": {"name": r"(?m)^ID\s+(\S+)", "accession": r"(?m)^AC\s+(\S+)", "description": r"(?m)^DE\s+(.*?)\s*$", "length": r"(?m)^\b\B(\d+)"},
+}
+
+
+def any_model(content: Column | str) -> Column:
+    """Struct (format, name, accession, description, length) of a text in whichever format it is found to be; null for none."""
+    c = F.col(content) if isinstance(content, str) else content
+    kind = detect_format(c)
+
+    def field(name: str) -> Column:
+        found = F.lit(None).cast("string")
+        for k, of in FIELDS.items():
+            found = F.when(kind == k, F.nullif(F.regexp_extract(c, of[name], 1), F.lit(""))).otherwise(found)
+        return found
+
+    return F.when(kind.isNotNull(), F.struct(kind.alias("format"), field("name").alias("name"), field("accession").alias("accession"), field("description").alias("description"), field("length").try_cast("int").alias("length")))
+
+
+def read_any_models(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each file, whatever its format."""
+    return spark.read.text(path, wholetext=True).select(any_model("value").alias("m")).where("m is not null").select("m.*")
+
+
+BODY = "name string, length int, letters string, match array<array<double>>, insert array<array<double>>, transitions array<array<double>>, stats map<string,array<double>>"
+
+
+def parse_body(text: str) -> dict | None:
+    """A whole model: for each node twenty match and insert log probabilities and seven log transitions (m->m m->i m->d i->m i->i d->m d->d). Files hold negative logarithms, * for none. None where no body is found."""
+    number = lambda x: float("-inf") if x == "*" else -float(x)
+    out = {"name": None, "length": None, "letters": "", "match": [], "insert": [], "transitions": [], "stats": {}}
+    lines = iter(text.splitlines())
+    for line in lines:
+        f = line.split()
+        if not f:
+            continue
+        if f[0] == "NAME" and len(f) > 1:
+            out["name"] = f[1]
+        elif f[0] == "LENG" and len(f) > 1:
+            out["length"] = int(f[1])
+        elif f[0] == "STATS" and len(f) >= 5:
+            out["stats"][f"{f[1]} {f[2]}"] = [float(x) for x in f[3:5]]
+        elif f[0] == "HMM":
+            out["letters"] = "".join(f[1:])
+            break
+    else:
+        return None
+    n = len(out["letters"])
+    rows = [f for f in (x.split() for x in lines) if f and f[0] != "//"][1:]  # the first names the transitions
+    if rows and rows[0][0] == "COMPO":
+        rows = rows[1:]
+    if len(rows) >= 2:
+        out["insert"].append([number(x) for x in rows[0][:n]])
+        out["transitions"].append([number(x) for x in rows[1][:7]])
+    for k in range(2, len(rows) - 2, 3):
+        out["match"].append([number(x) for x in rows[k][1 : n + 1]])
+        out["insert"].append([number(x) for x in rows[k + 1][:n]])
+        out["transitions"].append([number(x) for x in rows[k + 2][:7]])
+    return out
+
+
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """Whole models of database files, a row each."""
+
+    @F.pandas_udf(BODY)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [parse_body(t) or {"name": None} for t in texts]
+        return pd.DataFrame([{c: m.get(c) for c in ("name", "length", "letters", "match", "insert", "transitions", "stats")} for m in found])
+
+    return spark.read.option("lineSep", "//\n").text(path).select(run("value").alias("m")).where("m.name is not null").select("m.*")

@@ -252,3 +252,55 @@ def test_likelihood():
     rows = {"seq0": a, "seq1": b, "seq2": "ACGA" * 10}
     tree = trees.neighbour_joining(list(rows), trees.distances(list(rows.values())))
     assert lk.optimise_branches(tree, rows, q, rounds=1)[1] >= lk.tree_log_likelihood(tree, rows, q)
+
+
+SAMPLES = [
+    "HMMER3/f [3.3 | Nov 2019]\nNAME  PF00001\nACC   PF00001.28\nDESC  receptor family\nLENG  345\nALPH  amino\n",
+    "# STOCKHOLM 1.0\n#=GF ID   PF00001\n#=GF AC   PF00001.28\n#=GF DE   receptor family\n#=GF LEN  345\n",
+    "# hmmsearch :: search profile(s) against a sequence database\n\nQuery:       PF00001  [M=345]\nAccession:   PF00001.28\nDescription: receptor family\n",
+    "ID   IPR000001\nAC   IPR000001\nDE   Receptor superfamily\n",
+    "nothing",
+]
+BODY = """HMMER3/f
+NAME  tiny
+LENG  2
+STATS LOCAL MSV -8.0 0.7
+HMM          A        C
+            m->m     m->i     m->d     i->m     i->i     d->m     d->d
+  COMPO   1.0 2.0
+          0.7 0.7
+          0.1 2.0 3.0 0.5 0.9 0.0 *
+      1   0.2 1.8      1 a - - -
+          0.7 0.7
+          0.1 2.0 3.0 0.5 0.9 1.0 1.0
+      2   1.8 0.2      2 c - - -
+          0.7 0.7
+          0.1 2.0 * 0.5 0.9 0.0 *
+//
+"""
+
+
+def test_model_files(spark, tmp_path):
+    from strandloom.sources import models
+
+    got = [r["m"] for r in spark.createDataFrame([(x,) for x in SAMPLES], "c string").select(models.any_model("c").alias("m")).collect()]
+    assert [(m["name"], m["accession"], m["length"]) if m else None for m in got] == [("PF00001", "PF00001.28", 345)] * 3 + [("IPR000001", "IPR000001", None), None]
+    (tmp_path / "m.hmm").write_text(BODY + BODY.replace("tiny", "other"))
+    rows = {r["name"]: r for r in models.read_bodies(spark, str(tmp_path / "m.hmm")).collect()}
+    tiny = rows["tiny"]
+    assert set(rows) == {"tiny", "other"} and tiny["letters"] == "AC" and tiny["match"] == [[-0.2, -1.8], [-1.8, -0.2]]
+    assert len(tiny["insert"]) == 3 and tiny["transitions"][0][6] == -math.inf and tiny["stats"] == {"LOCAL MSV": [-8.0, 0.7]}
+
+
+def test_tasks(spark, msa, tmp_path):
+    from strandloom import api
+
+    q = spark.createDataFrame([("a", "AGSGD")], "id string, sequence string")
+    s = spark.createDataFrame([("r", "AGSGDSAF")], "id string, sequence string")
+    assert api.align(q, s).first()["score"] == 26
+    assert api.as_sam(api.align(q, s)).first()[0].split("\t")[:6] == ["a", "0", "r", "1", "60", "5="]
+    assert set(api.msa(msa)) == {"distances", "tree", "conservation", "consensus"}
+    model = hmm.collect_model(hmm.emissions(msa), 7)
+    assert api.hmm_search(msa, model, evalue=1e9).count() == 4
+    (tmp_path / "v.fa").write_text(">x\nACD\n>y\nAZ\n")
+    assert [tuple(r) for r in api.validate(spark, str(tmp_path / "v.fa")).collect()] == [("x", None), ("y", "InvalidAminoAcid")]
