@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import cigar
 from strandloom.operators.align import align_pairs, align_to_references, best_hits, filter_by_identity, filter_by_score, scheme, strategy
 from strandloom.operators.dp import NONE
+from strandloom.operators.matrices import GapPenalty, simple
 from strandloom.plans.views import LENGTH, SEQS, dp_sql, msa, read, reference, seqs
 
 LEAST, BAND = 14, 8
@@ -126,6 +127,8 @@ QUERIES = {
     "nw_open_edge_score": _scores(False, edge="open"),
     "sw_banded_score": _scores(True, band=BAND),
     "nw_banded_score": _scores(False, band=BAND),
+    "sw_simple_score": _scores(matrix=simple(), penalty=GapPenalty(-2, -2)),
+    "nw_simple_score": _scores(False, matrix=simple(), penalty=GapPenalty(-2, -2)),
     "sw_alignments": sw_alignments,
     "nw_alignments": nw_alignments,
     "sw_alignment_invariants": sw_alignment_invariants,
@@ -146,6 +149,8 @@ SQL = {
     "nw_open_edge_score": dp_sql(False, -11),
     "sw_banded_score": dp_sql(True, -1, BAND),
     "nw_banded_score": f"SELECT doc_id, CASE WHEN score > {NONE // 2} THEN score END AS score FROM ({_banded_nw})",
+    "sw_simple_score": dp_sql(True, gap=-2, simple=(2, -1)),
+    "nw_simple_score": dp_sql(False, -2, gap=-2, simple=(2, -1)),
     "sw_alignment_invariants": f"WITH {SEQS} SELECT doc_id, true AS query_spans, true AS subject_spans, true AS clips, true AS letters, true AS ops FROM seqs WHERE length(seq) > 0",
     "alignment_identity": f"WITH {ROWS} SELECT doc_id, round(100.0 * sum((substr(a, i, 1) = substr(b, i, 1) AND substr(a, i, 1) <> '-')::INT) / nullif(sum((substr(a, i, 1) <> '-')::INT), 0), 6) AS identity, sum((substr(a, i, 1) = '-' OR substr(b, i, 1) = '-')::INT)::INT AS gaps FROM pl GROUP BY doc_id",
     "generated_cigar": f"WITH {ROWS}, body AS ({_runs(_OP, 'pl')}) SELECT doc_id, '2S' || cigar || CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3)::VARCHAR || 'S' ELSE '' END AS cigar FROM body",

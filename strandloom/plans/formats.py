@@ -101,7 +101,34 @@ def bam_round_trip(spark, d):
     return packed_records(rows).select("doc_id", back("packed").alias("b")).select("doc_id", "b.*")
 
 
-QUERIES = {f.__name__: f for f in (fasta_lines, fasta_round_trip, fastq_lines, blast_tabular_lines, blast_json_fields, blast_xml_fields, gff3_lines, sam_lines, format_names, model_headers, model_formats, score_tokens, bam_round_trip)}
+def model_fields(spark, d):
+    """The same family written in four formats, read back."""
+    n, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    lit = F.lit
+    texts = [
+        F.concat(lit("HMMER3/f\nNAME  fam"), n, lit("\nACC   PF"), n, lit("\nLENG  "), size, lit("\n")),
+        F.concat(lit("# STOCKHOLM 1.0\n#=GF ID   fam"), n, lit("\n#=GF AC   PF"), n, lit("\n#=GF LEN  "), size, lit("\n")),
+        F.concat(lit("# hmmsearch :: x\nQuery:       fam"), n, lit("  [M="), size, lit("]\nAccession:   PF"), n, lit("\n")),
+        F.concat(lit("ID   IPR"), F.lpad(n, 6, "0"), lit("\nAC   PF"), n, lit("\nDE   none\n")),
+    ]
+    rows = read(spark, d, "part").select("p_partkey", models.any_model(F.element_at(F.array(*texts), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("m"))
+    return rows.select("p_partkey", "m.format", "m.name", "m.accession", "m.length")
+
+
+def model_lookup(spark, d):
+    """Models of a database by accession: a semi-join with the wanted keys."""
+    wanted = read(spark, d, "supplier").select(F.concat(F.lit("PF"), F.col("s_suppkey").cast("string"), F.lit(".1")).alias("accession"))
+    return model_headers(spark, d).join(wanted, "accession", "left_semi").select("name", "length")
+
+
+def interchange_round_trip(spark, d):
+    from strandloom.operators.interchange import protein_record, protein_sequence
+
+    rows = seqs(spark, d).where(F.length("seq") == LENGTH)
+    return protein_sequence(protein_record(rows, "doc_id", "seq")).select(F.col("id").cast("long").alias("doc_id"), "sequence", "error")
+
+
+QUERIES = {f.__name__: f for f in (fasta_lines, fasta_round_trip, fastq_lines, blast_tabular_lines, blast_json_fields, blast_xml_fields, gff3_lines, sam_lines, format_names, model_headers, model_fields, model_lookup, interchange_round_trip, model_formats, score_tokens, bam_round_trip)}
 _S200 = SEQS.replace(f", 1, {LENGTH})", ", 1, 200)")
 _E = "CASE l_linenumber WHEN 1 THEN '0e0' WHEN 2 THEN '4e1' WHEN 3 THEN '8e1' WHEN 4 THEN '1.6e2' WHEN 5 THEN '3.2e2' WHEN 6 THEN '6.4e2' ELSE '1.28e3' END"
 _Q = "CAST(l_quantity AS INT)"
@@ -116,6 +143,9 @@ SQL = {
     "sam_lines": f"WITH {SEQS} SELECT doc_id, concat_ws(chr(9), 'read' || doc_id, '0', 'ref', doc_id % 1000 + 1, '60', '24=', '*', '0', '0', seq, '*', 'AS:i:' || length(seq)) AS line FROM seqs WHERE length(seq) = {LENGTH}",
     "format_names": "SELECT page_id, ['fasta', 'fastq', 'fastq', 'tsv', 'tsv', 'fasta', 'fasta', 'fasta'][page_id % 8 + 1] AS format FROM pages",
     "model_headers": "SELECT 'fam' || p_partkey AS name, 'PF' || p_partkey || '.1' AS accession, p_name AS description, p_size AS length, 'amino' AS alphabet, CASE WHEN p_partkey % 2 = 0 THEN p_size + 0.5::DOUBLE END AS ga, NULL::DOUBLE AS tc FROM part",
+    "model_fields": "SELECT p_partkey, ['HMMER3', 'STOCKHOLM', 'HMMSEARCH', 'INTERPRO'][p_partkey % 4 + 1] AS format, CASE WHEN p_partkey % 4 = 3 THEN 'IPR' || lpad(p_partkey::VARCHAR, 6, '0') ELSE 'fam' || p_partkey END AS name, 'PF' || p_partkey AS accession, CASE WHEN p_partkey % 4 <> 3 THEN p_size END AS length FROM part",
+    "model_lookup": "SELECT 'fam' || p_partkey AS name, p_size AS length FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)",
+    "interchange_round_trip": f"WITH {SEQS} SELECT doc_id, seq AS sequence, NULL::VARCHAR AS error FROM seqs WHERE length(seq) = {LENGTH}",
     "model_formats": "SELECT p_partkey, ['HMMER3', 'STOCKHOLM', 'HMMSEARCH', 'INTERPRO', NULL][p_partkey % 5 + 1] AS format FROM part",
     "score_tokens": "WITH r AS (SELECT *, (l_orderkey + l_linenumber) % 7 AS k FROM lineitem) SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN -1e308 WHEN 1 THEN -1e308 WHEN 2 THEN round(-l_partkey / 1000.0, 6) WHEN 3 THEN round(ln((l_quantity / 100) / (1 - l_quantity / 100)), 6) WHEN 4 THEN round(CASE WHEN l_partkey + 1000 > 1000 THEN -(l_partkey + 1000) / 1000.0 ELSE -1000 END, 6) WHEN 5 THEN l_quantity END AS score FROM r",
     "bam_round_trip": f"WITH {SEQS} SELECT doc_id, 'r' || doc_id AS name, (doc_id % 1000)::INT AS pos, '20M4S' AS cigar, translate(seq, 'ARNDCEQGHILKMFPSTWYVBX', 'ACGTACGTACGTACGTACGTNN') AS sequence, repeat('I', length(seq)) AS quality FROM seqs WHERE length(seq) = {LENGTH}",

@@ -90,7 +90,17 @@ def sequence_likelihood(spark, d):
     return rows.select("doc_id", F.round(ev.sequence_log_likelihood("a", "b", F.lit(0.3)), 6).alias("score"))
 
 
+def jukes_cantor_distances(spark, d):
+    m = _small(spark, d)
+    a = m.select("msa_id", F.col("seq_idx").alias("i"), F.col("sequence").alias("a"))
+    b = m.select("msa_id", F.col("seq_idx").alias("j"), F.col("sequence").alias("b"))
+    p = ev.differing("a", "b") / F.length("a")
+    return a.join(b, "msa_id").where("i < j").select("msa_id", "i", "j", (F.round(ev.jukes_cantor(p), 6) + 0.0).alias("distance"))
+
+
 QUERIES = {
+    "jukes_cantor_distances": jukes_cantor_distances,
+    "dirichlet_pssm": lambda s, d: pr.wide_pssm(msa(s, d), _even(s, d)).select("msa_id", "pos", "aa", F.round(pr.dirichlet("pssm", 0.2), 6).alias("score")),
     "msa_consensus": lambda s, d: pr.consensus(msa(s, d), 0.1),
     "msa_conservation": lambda s, d: _r(pr.conservation(msa(s, d)), "conservation"),
     "msa_frequencies": lambda s, d: _r(pr.frequencies(msa(s, d)), "freq"),
@@ -121,6 +131,8 @@ QUERIES = {
     "tree_nodes": lambda s, d: trees.build_trees(_small(s, d), "upgma"),
 }
 SQL = {
+    "jukes_cantor_distances": f"WITH {SMALL} SELECT msa_id, i, j, round(-0.75 * ln(greatest(1 - 4 * {_DIFF_NG} / {LENGTH}.0 / 3, 0.001)), 6) + 0.0 AS distance FROM pr",
+    "dirichlet_pssm": f"WITH {COLS}, {_WIDE} SELECT msa_id, pos, aa, round(ln(greatest(p * 24, 0.001)) * 0.8 + ln(1 / 24.0) * 0.2, 6) AS score FROM wp",
     "msa_consensus": f"WITH {COLS}, b AS (SELECT msa_id, pos, aa, c, row_number() OVER (PARTITION BY msa_id, pos ORDER BY c DESC, aa) AS r FROM cnt) SELECT b.msa_id, string_agg(CASE WHEN c * 1.0 / n >= 0.1 THEN aa ELSE 'X' END, '' ORDER BY pos) AS consensus FROM b JOIN sz USING (msa_id) WHERE r = 1 GROUP BY 1",
     "msa_conservation": f"WITH {COLS}, t AS (SELECT *, sum(c) OVER (PARTITION BY msa_id, pos) AS t FROM cnt) SELECT msa_id, pos, round(1 - least(greatest(-sum(c / t * log2(c / t)) / log2(20), 0), 1), 6) AS conservation FROM t GROUP BY 1, 2",
     "msa_frequencies": f"WITH {COLS} SELECT msa_id, pos, aa, round(c * 1.0 / n, 6) AS freq FROM cnt JOIN sz USING (msa_id)",

@@ -48,7 +48,7 @@ def cell(a: str, b: str) -> str:
     return f"m[(instr('{ALPHABET}', {a}) - 1) * 24 + instr('{ALPHABET}', {b})]"
 
 
-def dp_sql(local: bool, edge: int = -1, band: int | None = None) -> str:
+def dp_sql(local: bool, edge: int = -1, band: int | None = None, gap: int = -1, simple: tuple[int, int] | None = None) -> str:
     """doc_id and score of every sequence against the reference: one row of the matrix for each step of a recursive query."""
     none = -(1 << 30)
     n = "len(s)"
@@ -57,8 +57,9 @@ def dp_sql(local: bool, edge: int = -1, band: int | None = None) -> str:
     zero = "greatest(0, " if local else "("
     left = "0" if local else f"(CASE WHEN {'NOT banded OR i + 1 <= ' + str(band) if band is not None else 'true'} THEN (i + 1) * {edge} ELSE {none} END)"
     start = f"list_transform(range(0, {n} + 1), lambda j: 0)" if local else f"list_transform(range(0, {n} + 1), lambda j: CASE WHEN {'NOT banded OR j <= ' + str(band) if band is not None else 'true'} THEN j * {edge} ELSE {none} END)"
-    t = f"list_transform(range(1, {n} + 1), lambda j: CASE WHEN {inside} THEN {zero}greatest(h[j] + {cell('substr(q, i + 1, 1)', 'substr(s, j, 1)')}, h[j + 1] - 1)) ELSE {off} END)"
-    row = f"list_prepend({left}, list_transform(range(1, {n} + 1), lambda j: CASE WHEN {inside} THEN {zero}greatest(list_max(list_transform(range(1, j + 1), lambda k: t[k] - (j - k))), {left} - j)) ELSE {off} END))"
+    pair = cell("substr(q, i + 1, 1)", "substr(s, j, 1)") if simple is None else f"(CASE WHEN substr(q, i + 1, 1) = substr(s, j, 1) THEN {simple[0]} ELSE {simple[1]} END)"
+    t = f"list_transform(range(1, {n} + 1), lambda j: CASE WHEN {inside} THEN {zero}greatest(h[j] + {pair}, h[j + 1] + {gap})) ELSE {off} END)"
+    row = f"list_prepend({left}, list_transform(range(1, {n} + 1), lambda j: CASE WHEN {inside} THEN {zero}greatest(list_max(list_transform(range(1, j + 1), lambda k: t[k] + {gap} * (j - k))), {left} + {gap} * j)) ELSE {off} END))"
     best = "max(best)" if local else "max(best) FILTER (WHERE i = len(q))"
     return f"""
 WITH RECURSIVE {SEQS}, {REF}, p AS (SELECT doc_id, seq AS q, s, len(seq) * 1.0 / len(s) BETWEEN 0.5 AND 2 AS banded, {SCORES} AS m FROM seqs, ref WHERE len(seq) > 0),
