@@ -141,6 +141,7 @@ QUERIES = {
     "cigar_from_hmm_path": cigar_from_hmm_path,
     "kernel_strategy": kernel_strategy,
 }
+_HITS = "SELECT doc_id, ref_name, seq AS q, s FROM seqs, (SELECT n_name AS ref_name, regexp_replace(upper(regexp_replace(n_name, '[^A-Za-z]', '', 'g')), '[JOUZ]', '', 'g') AS s FROM nation) WHERE seq <> '' AND s <> '' AND doc_id % 10 = 0"
 _banded_nw = dp_sql(False, -11, BAND)
 SQL = {
     "sw_top_hits": f"SELECT * FROM ({dp_sql(True)}) WHERE score >= {LEAST}",
@@ -152,6 +153,7 @@ SQL = {
     "sw_simple_score": dp_sql(True, gap=-2, simple=(2, -1)),
     "nw_simple_score": dp_sql(False, -2, gap=-2, simple=(2, -1)),
     "sw_alignment_invariants": f"WITH {SEQS} SELECT doc_id, true AS query_spans, true AS subject_spans, true AS clips, true AS letters, true AS ops FROM seqs WHERE length(seq) > 0",
+    "best_hit_per_query": f"SELECT doc_id, ref_name, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ref_name) AS r FROM ({dp_sql(True, pairs=_HITS, keys='doc_id, ref_name')})) WHERE r = 1",
     "alignment_identity": f"WITH {ROWS} SELECT doc_id, round(100.0 * sum((substr(a, i, 1) = substr(b, i, 1) AND substr(a, i, 1) <> '-')::INT) / nullif(sum((substr(a, i, 1) <> '-')::INT), 0), 6) AS identity, sum((substr(a, i, 1) = '-' OR substr(b, i, 1) = '-')::INT)::INT AS gaps FROM pl GROUP BY doc_id",
     "generated_cigar": f"WITH {ROWS}, body AS ({_runs(_OP, 'pl')}) SELECT doc_id, '2S' || cigar || CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3)::VARCHAR || 'S' ELSE '' END AS cigar FROM body",
     "cigar_compress": f"WITH {SEQS}, pl AS (SELECT doc_id, translate(substr(seq, 1, 12), 'ARNDCEQGHILKMFPSTWYVBX', 'MMMMMMIIIIIIIIDDDDDDDD') AS t, unnest(range(1, 13)) AS i FROM seqs WHERE length(seq) = {LENGTH}) {_runs('substr(t, i, 1)', 'pl')}",

@@ -48,8 +48,8 @@ def cell(a: str, b: str) -> str:
     return f"m[(instr('{ALPHABET}', {a}) - 1) * 24 + instr('{ALPHABET}', {b})]"
 
 
-def dp_sql(local: bool, edge: int = -1, band: int | None = None, gap: int = -1, simple: tuple[int, int] | None = None) -> str:
-    """doc_id and score of every sequence against the reference: one row of the matrix for each step of a recursive query."""
+def dp_sql(local: bool, edge: int = -1, band: int | None = None, gap: int = -1, simple: tuple[int, int] | None = None, pairs: str | None = None, keys: str = "doc_id") -> str:
+    """keys and score of every sequence against the reference, or of every row (keys, q, s) of `pairs`: one row of the matrix for each step of a recursive query."""
     none = -(1 << 30)
     n = "len(s)"
     inside = f"(NOT banded OR abs(i + 1 - j) <= {band})" if band is not None else "true"
@@ -62,8 +62,8 @@ def dp_sql(local: bool, edge: int = -1, band: int | None = None, gap: int = -1,
     row = f"list_prepend({left}, list_transform(range(1, {n} + 1), lambda j: CASE WHEN {inside} THEN {zero}greatest(list_max(list_transform(range(1, j + 1), lambda k: t[k] + {gap} * (j - k))), {left} + {gap} * j)) ELSE {off} END))"
     best = "max(best)" if local else "max(best) FILTER (WHERE i = len(q))"
     return f"""
-WITH RECURSIVE {SEQS}, {REF}, p AS (SELECT doc_id, seq AS q, s, len(seq) * 1.0 / len(s) BETWEEN 0.5 AND 2 AS banded, {SCORES} AS m FROM seqs, ref WHERE len(seq) > 0),
-r AS (SELECT doc_id, q, s, banded, m, 0 AS i, {start} AS h, 0 AS best FROM p
-UNION ALL SELECT doc_id, q, s, banded, m, i + 1, nh, {'greatest(best, list_max(nh))' if local else 'list_last(nh)'} FROM (
+WITH RECURSIVE {SEQS}, {REF}, p AS (SELECT {keys}, q, s, len(q) * 1.0 / len(s) BETWEEN 0.5 AND 2 AS banded, {SCORES} AS m FROM ({pairs or 'SELECT doc_id, seq AS q, s FROM seqs, ref WHERE len(seq) > 0'})),
+r AS (SELECT {keys}, q, s, banded, m, 0 AS i, {start} AS h, 0 AS best FROM p
+UNION ALL SELECT {keys}, q, s, banded, m, i + 1, nh, {'greatest(best, list_max(nh))' if local else 'list_last(nh)'} FROM (
   SELECT *, {row} AS nh FROM (SELECT *, {t} AS t FROM r WHERE i < len(q))))
-SELECT doc_id, {best}::INT AS score FROM r GROUP BY doc_id"""
+SELECT {keys}, {best}::INT AS score FROM r GROUP BY {keys}"""
