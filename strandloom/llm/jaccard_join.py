@@ -229,3 +229,15 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str =
         once = kept.join(twice, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row", "_key")
         kept = kept.join(twice, "_key", "left_anti").unionByName(once)
     return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-/:-@\[-^`{-\x7f]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT i, j FROM c JOIN n x ON i = x.doc_id JOIN n y ON j = y.doc_id WHERE 5 * k >= 4 * (x.n + y.n - k)),
+t(i, j) AS (SELECT i, j FROM l UNION SELECT t.i, l.j FROM t JOIN l ON t.j = l.i)
+SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id, coalesce(k, 0) AS n_links FROM documents
+LEFT JOIN (SELECT i AS doc_id, min(j) AS m FROM t GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT i AS doc_id, count(*) AS k FROM l GROUP BY 1) USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import ball_tree, line_dedup, preferences
+from strandloom.llm import ball_tree, jaccard_join, line_dedup, preferences
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,4 +94,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_top_k, op2_sentence_pieces, op3_private_data, op4_jaccard_join, op5_decontamination, op6_line_dedup, op7_toxicity, op8_preferences, op9_lm_scoring, op10_token_counts)}
-SQL: dict[str, str] = {"op1_top_k": ball_tree.SQL, "op6_line_dedup": line_dedup.SQL, "op8_preferences": preferences.SQL}
+SQL: dict[str, str] = {"op1_top_k": ball_tree.SQL, "op4_jaccard_join": jaccard_join.SQL, "op6_line_dedup": line_dedup.SQL, "op8_preferences": preferences.SQL}
