@@ -15,6 +15,8 @@ from strandloom.llm.common import as_text
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3000, 6000, 20_000
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
 THRESHOLD = 0.7
+#: Subwords without any weight that every mean counts in, so a handful of subwords can't decide alone.
+NEUTRAL = 150
 _WORD = re.compile(r"\w+")
 MEMO_WORDS = 400_000
 
@@ -64,7 +66,7 @@ class SubwordBag:
         self.out = rng.normal(0, 10.0, (DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, dtype=np.float32)
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 12, batch: int = 256, rate: float = 0.03, decay: float = 2e-3, toxic_weight: float = 2.0, least_steps: int = 240, seed: int = 11) -> "SubwordBag":
+    def fit(self, texts: list[str], labels: list[int], epochs: int = 12, batch: int = 256, rate: float = 0.15, decay: float = 2e-3, toxic_weight: float = 2.0, least_steps: int = 240, seed: int = 11) -> "SubwordBag":
         """Adam over minibatches; embeddings and softmax move together; a small sample is gone through more often, until `least_steps` steps are made."""
         y = np.array(labels, dtype=np.float32)
         number: dict[str, int] = {}
@@ -104,7 +106,7 @@ class SubwordBag:
                 used, word = np.unique(ids, return_inverse=True)
                 flat = what[_ranges(at[used], at[used + 1])]
                 owner = np.repeat(np.arange(len(used)), subs[used])
-                total = np.maximum(np.bincount(doc, n * subs[ids], len(part)), 1)
+                total = np.bincount(doc, n * subs[ids], len(part)) + NEUTRAL
                 # between two classes only the difference of their columns counts, in the scores and in the gradients
                 gap = self.emb @ (self.out[:, 1] - self.out[:, 0])
                 of_word = np.bincount(owner, gap[flat], len(used))
@@ -157,7 +159,7 @@ class Scorer:
             for i, ws in enumerate(part):
                 if ws:
                     total, n = self.sums[np.fromiter(map(get, ws), dtype=np.int64, count=len(ws))].sum(0)
-                    out[at + i] += total / n
+                    out[at + i] += total / (n + NEUTRAL)
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
