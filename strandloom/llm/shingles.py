@@ -22,8 +22,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(_memo) > MEMO_WORDS:
         _memo.clear()
     split = [words(t) for t in texts]
-    for w in set().union(*split) - _memo.keys():
-        _memo[w] = xxhash.xxh64_intdigest(w)
+    for w in set().union(*split):
+        if w not in _memo:  # a difference with the memo's keys would walk all of them for each small batch
+            _memo[w] = xxhash.xxh64_intdigest(w)
     sizes = np.array([len(s) for s in split], dtype=np.int64)
     get = _memo.__getitem__
     flat = np.fromiter((h for s in split for h in map(get, s)), dtype=np.uint64, count=int(sizes.sum()))
