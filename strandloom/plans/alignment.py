@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from strandloom.functions import cigar
 from strandloom.operators.align import align_pairs, align_to_references, best_hits, filter_by_identity, filter_by_score, scheme, strategy
 from strandloom.operators.dp import NONE
-from strandloom.operators.matrices import GapPenalty, simple
-from strandloom.plans.views import LENGTH, SEQS, dp_sql, msa, read, reference, seqs
+from strandloom.operators.matrices import GapPenalty, blosum62, simple
+from strandloom.plans.views import LENGTH, SEQS, dp_sql, ends_sql, msa, read, reference, seqs
 
 LEAST, BAND = 14, 8
 
@@ -53,6 +53,26 @@ def sw_alignment_invariants(spark, d):
     )
 
 
+def sw_end_positions(spark, d):
+    out = align_to_references(_named(spark, d), reference(spark, d), trace=False)
+    return out.select("doc_id", "alignment.score", "alignment.q_end", "alignment.s_end")
+
+
+def nw_alignment_invariants(spark, d):
+    """Per document, whether a global alignment covers both sequences, and its ops, worth their scores, add up to the score."""
+    a = align_to_references(_named(spark, d), reference(spark, d), local=False).withColumn("o", cigar.parse("alignment.cigar"))
+    gaps = cigar.consumed("o", "ID")
+    pairs = F.zip_with(F.split("alignment.aligned_query", ""), F.split("alignment.aligned_subject", ""), lambda x, y: F.struct(x.alias("aa1"), y.alias("aa2")))
+    cells = a.select("doc_id", F.explode(F.filter(pairs, lambda p: (p["aa1"] != "-") & (p["aa2"] != "-") & (p["aa1"] != ""))).alias("p")).select("doc_id", "p.*")
+    worth = cells.join(F.broadcast(blosum62().frame(spark)), ["aa1", "aa2"]).groupBy("doc_id").agg(F.sum("score").alias("worth"))
+    return a.join(worth, "doc_id", "left").select(
+        "doc_id",
+        (cigar.query_length("o") == F.length("sequence")).alias("whole_query"),
+        (cigar.reference_length("o") == F.length("ref_sequence")).alias("whole_subject"),
+        (F.coalesce("worth", F.lit(0)) - gaps == F.col("alignment.score")).alias("adds_up"),
+    )
+
+
 def best_hit_per_query(spark, d):
     refs = read(spark, d, "nation").select(F.col("n_name").alias("ref_name"), F.regexp_replace(F.upper(F.regexp_replace("n_name", "[^A-Za-z]", "")), "[JOUZ]", "").alias("ref_sequence")).where("ref_sequence <> ''")
     some = _named(spark, d).where("doc_id % 10 = 0")
@@ -132,6 +152,8 @@ QUERIES = {
     "sw_alignments": sw_alignments,
     "nw_alignments": nw_alignments,
     "sw_alignment_invariants": sw_alignment_invariants,
+    "sw_end_positions": sw_end_positions,
+    "nw_alignment_invariants": nw_alignment_invariants,
     "best_hit_per_query": best_hit_per_query,
     "sw_filtered": sw_filtered,
     "alignment_identity": alignment_identity,
@@ -153,6 +175,8 @@ SQL = {
     "sw_simple_score": dp_sql(True, gap=-2, simple=(2, -1)),
     "nw_simple_score": dp_sql(False, -2, gap=-2, simple=(2, -1)),
     "sw_alignment_invariants": f"WITH {SEQS} SELECT doc_id, true AS query_spans, true AS subject_spans, true AS clips, true AS letters, true AS ops FROM seqs WHERE length(seq) > 0",
+    "sw_end_positions": ends_sql(),
+    "nw_alignment_invariants": f"WITH {SEQS} SELECT doc_id, true AS whole_query, true AS whole_subject, true AS adds_up FROM seqs WHERE length(seq) > 0",
     "best_hit_per_query": f"SELECT doc_id, ref_name, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ref_name) AS r FROM ({dp_sql(True, pairs=_HITS, keys='doc_id, ref_name')})) WHERE r = 1",
     "alignment_identity": f"WITH {ROWS} SELECT doc_id, round(100.0 * sum((substr(a, i, 1) = substr(b, i, 1) AND substr(a, i, 1) <> '-')::INT) / nullif(sum((substr(a, i, 1) <> '-')::INT), 0), 6) AS identity, sum((substr(a, i, 1) = '-' OR substr(b, i, 1) = '-')::INT)::INT AS gaps FROM pl GROUP BY doc_id",
     "generated_cigar": f"WITH {ROWS}, body AS ({_runs(_OP, 'pl')}) SELECT doc_id, '2S' || cigar || CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3)::VARCHAR || 'S' ELSE '' END AS cigar FROM body",

@@ -67,3 +67,16 @@ r AS (SELECT {keys}, q, s, banded, m, 0 AS i, {start} AS h, 0 AS best FROM p
 UNION ALL SELECT {keys}, q, s, banded, m, i + 1, nh, {'greatest(best, list_max(nh))' if local else 'list_last(nh)'} FROM (
   SELECT *, {row} AS nh FROM (SELECT *, {t} AS t FROM r WHERE i < len(q))))
 SELECT {keys}, {best}::INT AS score FROM r GROUP BY {keys}"""
+
+
+def ends_sql() -> str:
+    """doc_id, score and ends of the best local alignment with the reference; of several the one in the first column, then the first row."""
+    t = f"list_transform(range(1, len(s) + 1), lambda j: greatest(0, h[j] + {cell('substr(q, i + 1, 1)', 'substr(s, j, 1)')}, h[j + 1] - 1))"
+    row = "list_prepend(0, list_transform(range(1, len(s) + 1), lambda j: greatest(0, list_max(list_transform(range(1, j + 1), lambda k: t[k] - (j - k))))))"
+    return f"""
+WITH RECURSIVE {SEQS}, {REF}, p AS (SELECT doc_id, seq AS q, s, {SCORES} AS m FROM seqs, ref WHERE len(seq) > 0),
+r AS (SELECT doc_id, q, s, m, 0 AS i, list_transform(range(0, len(s) + 1), lambda j: 0) AS h, 0 AS best, 0::BIGINT AS bi, 0::BIGINT AS bj FROM p
+UNION ALL SELECT doc_id, q, s, m, i + 1, nh, CASE WHEN b THEN mx ELSE best END, CASE WHEN b THEN i + 1 ELSE bi END, CASE WHEN b THEN mj ELSE bj END FROM (
+  SELECT *, mx > best OR (mx = best AND mx > 0 AND mj < bj) AS b FROM (SELECT *, list_max(nh) AS mx, list_position(nh, list_max(nh)) - 1 AS mj FROM (
+    SELECT *, {row} AS nh FROM (SELECT *, {t} AS t FROM r WHERE i < len(q))))))
+SELECT doc_id, best::INT AS score, bi::INT AS q_end, bj::INT AS s_end FROM r WHERE i = len(q)"""

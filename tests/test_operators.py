@@ -304,3 +304,16 @@ def test_tasks(spark, msa, tmp_path):
     assert api.hmm_search(msa, model, evalue=1e9).count() == 4
     (tmp_path / "v.fa").write_text(">x\nACD\n>y\nAZ\n")
     assert [tuple(r) for r in api.validate(spark, str(tmp_path / "v.fa")).collect()] == [("x", None), ("y", "InvalidAminoAcid")]
+
+
+def test_numbered_rows(spark):
+    from strandloom.operators.batches import contiguous, numbered
+
+    rng = random.Random(3)
+    values = rng.sample(range(10**6), 5000)
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(7)
+    assert {r["v"]: r["_n"] for r in numbered(df, "v").collect()} == {v: i for i, v in enumerate(sorted(values))}
+    assert numbered(df.limit(0), "v").count() == 0
+    odd = spark.createDataFrame([(None,), ("b",), ("a",)], "v string")
+    assert sorted((r["_n"], r["v"]) for r in numbered(odd, "v").collect()) == [(0, None), (1, "a"), (2, "b")]
+    assert sorted(contiguous(df, "v", 3).groupBy("batch").count().collect())[0]["count"] == 1667
