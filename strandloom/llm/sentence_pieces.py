@@ -18,7 +18,7 @@ from strandloom.llm.common import as_text, by_bytes
 MARK = "▁"
 #: Stands for a marker in the text itself; no UTF-8 text holds a lone surrogate.
 _LITERAL = "\ud800"
-MEMO_WORDS, LONG_WORD = 300_000, 64
+MEMO_WORDS, LONG_WORD = 150_000, 64
 UNKNOWN_PENALTY = 10.0
 
 
@@ -239,8 +239,8 @@ class _Encoder:
         split = [self.pieces.words(t) for t in texts]
         if len(self.memo) > MEMO_WORDS or len(self.flat) > 20 * MEMO_WORDS:
             self._clear()
-        if new := set().union(*split) - self.memo.keys():
-            self._learn(sorted(new))
+        if new := sorted(w for w in set().union(*split) if w not in self.memo):
+            self._learn(new)
         n = np.array([len(s) for s in split], dtype=np.int64)
         k = np.fromiter((i for s in split for i in map(self.memo.__getitem__, s)), dtype=np.int64, count=int(n.sum()))
         sizes = self.sizes[k]
@@ -251,7 +251,7 @@ class _Encoder:
         return tokens, np.diff(total[stop]), np.diff(score[stop])
 
 
-def _by_chars(words: list[str], most: int = 200_000) -> Iterator[list[str]]:
+def _by_chars(words: list[str], most: int = 50_000) -> Iterator[list[str]]:
     part, size = [], 0
     for w in words:
         if part and size + len(w) > most:
@@ -292,7 +292,7 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
             _encoders.clear()
             _encoders[digest] = _Encoder(sent.value)
         for batch in batches:
-            for part in by_bytes(batch, 4 << 20):
+            for part in by_bytes(batch, 1 << 20):
                 tokens, sizes, score = _encoders[digest].encode(part.column(1).to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(tokens, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids, pa.array(score)], names=["id", "text", "token_ids", "score"])
