@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import as_text
 
 #: Labelled rows a model is fitted on at most, of each class, and the longest text among them in characters.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3000, 6000, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 5000, 10_000
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
 THRESHOLD = 0.7
 #: Subwords without any weight that every mean counts in, so a handful of subwords can't decide alone.
@@ -183,7 +183,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC,
     short = docs.select(F.col(id_col).alias("i"), as_text(text_col).alias("t")).where(F.length("t") <= chars)
     rows = short.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).collect()
     rows.sort(key=lambda r: r["i"])
-    return SubwordBag().fit([r["t"] for r in rows], [r["y"] for r in rows])
+    texts, marks = [r["t"] for r in rows], [r["y"] for r in rows]
+    del rows
+    return SubwordBag().fit(texts, marks)
 
 
 def score_toxicity(docs: DataFrame, model: SubwordBag, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
