@@ -137,6 +137,13 @@ def profile_similarity(a: DataFrame, b: DataFrame, value: str = "pssm") -> DataF
     return left.join(right, "aa").groupBy("a_pos", "b_pos").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
 
 
+def profile_similarities(profiles: DataFrame, value: str = "pssm") -> DataFrame:
+    """(a_id, b_id, a_pos, b_pos, similarity), a_id < b_id: profile_similarity of every pair of alignments' profiles (msa_id, pos, aa)."""
+    left = profiles.select(F.col("msa_id").alias("a_id"), F.col("pos").alias("a_pos"), "aa", F.col(value).alias("x"))
+    right = profiles.select(F.col("msa_id").alias("b_id"), F.col("pos").alias("b_pos"), "aa", F.col(value).alias("y"))
+    return left.join(right, "aa").where("a_id < b_id").groupBy("a_id", "b_id", "a_pos", "b_pos").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
+
+
 def hamming(a: Column | str, b: Column | str) -> Column:
     """Share of differing places over the longer length; what is missing counts as a gap."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))

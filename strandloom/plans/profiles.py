@@ -38,13 +38,14 @@ def _even(spark, d):
     return msa(spark, d).select("msa_id", "seq_idx", F.lit(1.0).alias("weight"))
 
 
-def _one(spark, d, source):
-    return pr.pipeline_pssm(msa(spark, d).where(F.col("msa_id") == source))
+def _similarity(spark, d):
+    """Every pair of two sources' profiles, the smaller name first."""
+    return _r(pr.profile_similarities(pr.pipeline_pssm(msa(spark, d))), "similarity")
 
 
 def _nodes(spark, d):
     """A tree of orders: each customer's orders hang below the smallest."""
-    o = read(spark, d, "orders").where("o_custkey <= 200").select(F.col("o_custkey").alias("tree_id"), F.col("o_orderkey").alias("node_id"), (F.col("o_totalprice") / 1000).alias("branch_length"))
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("tree_id"), F.col("o_orderkey").alias("node_id"), (F.col("o_totalprice") / 1000).alias("branch_length"))
     root = o.groupBy("tree_id").agg(F.min("node_id").alias("root"), F.collect_list("node_id").alias("all"))
     parent = F.when(F.col("node_id") != F.col("root"), F.col("root"))
     kids = F.when(F.col("node_id") == F.col("root"), F.filter("all", lambda x: x != F.col("root"))).otherwise(F.array().cast("array<bigint>"))
@@ -55,11 +56,10 @@ NODES = "o AS (SELECT o_custkey AS tree_id, o_orderkey AS node_id, o_totalprice
 
 
 def hmm_scores(spark, d):
-    """Sequences of one source against the model of its alignment."""
-    m = msa(spark, d).where("msa_id = 'src1'")
-    model = hmm.collect_model(hmm.emissions(m), LENGTH)
-    out = hmm.search(m, model).select("seq_idx", "viterbi", "path", "forward")
-    return hmm.domains(out).select("seq_idx", F.round("viterbi", 6).alias("viterbi"), "path", F.round("forward", 6).alias("forward"), F.size("domains").alias("n_domains"))
+    """Sequences of every source against the model of its own alignment."""
+    m = msa(spark, d)
+    out = hmm.search_own(m, hmm.collect_models(hmm.emissions(m), LENGTH)).select("msa_id", "seq_idx", "viterbi", "path", "forward")
+    return hmm.domains(out).select("msa_id", "seq_idx", F.round("viterbi", 6).alias("viterbi"), "path", F.round("forward", 6).alias("forward"), F.size("domains").alias("n_domains"))
 
 
 def path_domains(spark, d):
@@ -112,7 +112,7 @@ QUERIES = {
     "column_divergence": lambda s, d: _r(pr.divergence(pr.wide_pssm(msa(s, d), _even(s, d))), "entropy", "kl"),
     "profile_scores": lambda s, d: _r(pr.score_profile(msa(s, d), pr.pipeline_pssm(msa(s, d))), "score"),
     "gapped_columns": lambda s, d: pr.gapped_columns(msa(s, d), 0.02),
-    "profile_similarity": lambda s, d: _r(pr.profile_similarity(_one(s, d, "src1"), _one(s, d, "src2")), "similarity"),
+    "profile_similarity": _similarity,
     "msa_distances": lambda s, d: _r(pr.distance_matrix(_small(s, d)), "distance"),
     "msa_coverage": lambda s, d: _r(pr.coverage(seqs(s, d).select(F.col("lang").alias("msa_id"), F.col("doc_id").alias("seq_idx"), F.col("seq").alias("sequence")).where("sequence <> ''")), "coverage"),
     "parsimony_score": lambda s, d: ev.parsimony_score(msa(s, d)),

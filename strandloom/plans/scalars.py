@@ -58,12 +58,12 @@ def node_stats(spark, d):
 
 
 def contiguous_batches(spark, d):
-    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("task"), "o_custkey").where("o_custkey <= 100")
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("task"), "o_custkey")
     return batches.contiguous(o, "task", 7).join(batches.round_robin(o, "task", 4).select("task", "device"), "task").select("task", "batch", "device")
 
 
 def tiles(spark, d):
-    pairs = read(spark, d, "part").where("p_partkey <= 200").select("p_partkey", (F.col("p_size") * 5).alias("m"), (F.col("p_partkey") % 97 + 1).alias("n"))
+    pairs = read(spark, d, "part").select("p_partkey", (F.col("p_size") * 5).alias("m"), (F.col("p_partkey") % 97 + 1).alias("n"))
     return batches.tiles(pairs, "m", "n", 32).select("p_partkey", "tile_row", "tile_col", "raster", "height", "width")
 
 

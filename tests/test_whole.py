@@ -9,20 +9,29 @@ from strandloom.operators import dp
 from strandloom.operators.align import scheme
 from strandloom.plans import registry
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
 
 
-@pytest.fixture(scope="module")
-def con():
+def views(folder):
     con = duckdb.connect()
-    for f in os.listdir(SMALL):
-        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{SMALL}/{f}'")
+    for f in os.listdir(folder):
+        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{folder}/{f}'")
     return con
 
 
-def rows_of(spark, name, columns):
-    return [tuple(r[c] for c in columns) for r in registry.QUERIES[name](spark, SMALL).collect()]
+@pytest.fixture(scope="module")
+def con():
+    return views(SMALL)
+
+
+@pytest.fixture(scope="module")
+def more():
+    return views(MORE)
+
+
+def rows_of(spark, name, columns, folder=SMALL):
+    return [tuple(r[c] for c in columns) for r in registry.QUERIES[name](spark, folder).collect()]
 
 
 def sql_rows(con, name, columns):
@@ -43,3 +52,49 @@ def test_every_document_has_a_best_hit(spark, con):
     assert sorted(got) == sorted(want)
     some = ["doc_id", "ref_name", "score"]
     assert sorted(r for r in got if r[0] % 10 == 0) == sorted(sql_rows(con, "best_hit_per_query", some))
+
+
+@pytest.mark.parametrize(
+    ("name", "columns", "part"),
+    [
+        ("tiles", ["p_partkey", "tile_row", "tile_col", "raster", "height", "width"], lambda r: r[0] <= 200),
+        ("tree_statistics", ["tree_id", "taxa", "internals", "mean_branch", "longest_pair"], lambda r: r[0] <= 200),
+        ("swap_candidates", ["tree_id", "i", "j"], lambda r: r[0] <= 200),
+        ("profile_similarity", ["a_pos", "b_pos", "similarity"], None),
+    ],
+)
+def test_rows_that_the_sql_covers(spark, more, name, columns, part):
+    if part:
+        got = [r for r in rows_of(spark, name, columns, MORE) if part(r)]
+    else:
+        got = [r[2:] for r in rows_of(spark, name, ["a_id", "b_id", *columns], MORE) if r[:2] == ("src1", "src2")]
+    assert sorted(got) == [pytest.approx(r) for r in sorted(sql_rows(more, name, columns))]
+
+
+def test_no_row_of_a_table_is_left_out(spark, more):
+    one = lambda q: more.execute(q).fetchone()[0]
+    n = lambda name: registry.QUERIES[name](spark, MORE)
+    assert {r["p_partkey"] for r in n("tiles").collect()} == {k for (k,) in more.execute("SELECT p_partkey FROM part").fetchall()}
+    assert n("tree_statistics").count() == one("SELECT count(DISTINCT o_custkey) FROM orders")
+    assert n("swap_candidates").select("tree_id").distinct().count() == one("SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey HAVING count(*) > 2)")
+    keys = sorted(k for (k,) in more.execute("SELECT o_orderkey FROM orders").fetchall())
+    size = -(-len(keys) // 7)
+    assert sorted(rows_of(spark, "contiguous_batches", ["task", "batch", "device"], MORE)) == [(k, i // size, i % 4) for i, k in enumerate(keys)]
+
+
+def test_every_source_has_a_model_and_meets_every_other(spark):
+    from strandloom.operators import hmm
+    from strandloom.plans.views import LENGTH, msa
+
+    rows = msa(spark, SMALL).collect()
+    sources = sorted({r["msa_id"] for r in rows})
+    got = {r["seq_idx"]: r for r in registry.QUERIES["hmm_scores"](spark, SMALL).collect()}
+    assert got.keys() == {r["seq_idx"] for r in rows}
+    for s in (sources[0], sources[-1]):
+        model = hmm.collect_model(hmm.emissions(msa(spark, SMALL).where(f"msa_id = '{s}'")), LENGTH)
+        for r in (r for r in rows if r["msa_id"] == s):
+            score, path = hmm.viterbi(model, r["sequence"])
+            assert (got[r["seq_idx"]]["msa_id"], got[r["seq_idx"]]["path"]) == (s, path) and got[r["seq_idx"]]["viterbi"] == pytest.approx(score, abs=1e-6)
+    pairs = registry.QUERIES["profile_similarity"](spark, SMALL).groupBy("a_id", "b_id").count().collect()
+    assert sorted((r["a_id"], r["b_id"]) for r in pairs) == [(a, b) for a in sources for b in sources if a < b]
+    assert {r["count"] for r in pairs} == {LENGTH * LENGTH}
