@@ -15,13 +15,6 @@ def _r(df, *cols):
     return df.select(*(F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns))
 
 
-def _small(spark, d):
-    """Ten sequences of each source, so that all pairs and trees stay small."""
-    m = msa(spark, d)
-    first = m.groupBy("msa_id").agg(F.slice(F.array_sort(F.collect_list("seq_idx")), 1, 10).alias("k"))
-    return m.join(first.select("msa_id", F.explode("k").alias("seq_idx")), ["msa_id", "seq_idx"])
-
-
 SMALL = f"{COLS}, small AS (SELECT msa_id, seq_idx, sequence FROM (SELECT *, row_number() OVER (PARTITION BY msa_id ORDER BY seq_idx) AS r FROM msa) WHERE r <= 10), pr AS (SELECT a.msa_id, a.seq_idx AS i, b.seq_idx AS j, a.sequence AS a, b.sequence AS b FROM small a JOIN small b ON a.msa_id = b.msa_id AND a.seq_idx < b.seq_idx)"
 _FREQ = "bg AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in FREQUENCIES.items()) + ") t(aa, b))"
 _HEN = """ng AS (SELECT * FROM cnt WHERE aa NOT IN ('-', '.')), kinds AS (SELECT msa_id, pos, count(*) AS k FROM ng GROUP BY 1, 2), raw AS (SELECT cols.msa_id, seq_idx, sum(1.0 / (k * c)) AS w FROM cols JOIN ng USING (msa_id, pos, aa) JOIN kinds USING (msa_id, pos) GROUP BY 1, 2),
@@ -91,7 +84,7 @@ def sequence_likelihood(spark, d):
 
 
 def jukes_cantor_distances(spark, d):
-    m = _small(spark, d)
+    m = msa(spark, d)
     a = m.select("msa_id", F.col("seq_idx").alias("i"), F.col("sequence").alias("a"))
     b = m.select("msa_id", F.col("seq_idx").alias("j"), F.col("sequence").alias("b"))
     p = ev.differing("a", "b") / F.length("a")
@@ -113,10 +106,10 @@ QUERIES = {
     "profile_scores": lambda s, d: _r(pr.score_profile(msa(s, d), pr.pipeline_pssm(msa(s, d))), "score"),
     "gapped_columns": lambda s, d: pr.gapped_columns(msa(s, d), 0.02),
     "profile_similarity": _similarity,
-    "msa_distances": lambda s, d: _r(pr.distance_matrix(_small(s, d)), "distance"),
+    "msa_distances": lambda s, d: _r(pr.distance_matrix(msa(s, d)), "distance"),
     "msa_coverage": lambda s, d: _r(pr.coverage(seqs(s, d).select(F.col("lang").alias("msa_id"), F.col("doc_id").alias("seq_idx"), F.col("seq").alias("sequence")).where("sequence <> ''")), "coverage"),
     "parsimony_score": lambda s, d: ev.parsimony_score(msa(s, d)),
-    "pair_log_score": lambda s, d: _r(ev.pair_log_score(_small(s, d)), "score"),
+    "pair_log_score": lambda s, d: _r(ev.pair_log_score(msa(s, d)), "score"),
     "fitch_states": _sets,
     "substitution_probabilities": substitution_probabilities,
     "sequence_likelihood": sequence_likelihood,
@@ -126,9 +119,9 @@ QUERIES = {
     "hmm_states": lambda s, d: hmm.states(msa(s, d)),
     "hmm_scores": hmm_scores,
     "path_domains": path_domains,
-    "upgma_trees": lambda s, d: trees.tree_texts(_small(s, d), "upgma"),
-    "neighbour_joining_trees": lambda s, d: trees.tree_texts(_small(s, d), "nj"),
-    "tree_nodes": lambda s, d: trees.build_trees(_small(s, d), "upgma"),
+    "upgma_trees": lambda s, d: trees.tree_texts(msa(s, d), "upgma"),
+    "neighbour_joining_trees": lambda s, d: trees.tree_texts(msa(s, d), "nj"),
+    "tree_nodes": lambda s, d: trees.build_trees(msa(s, d), "upgma"),
 }
 SQL = {
     "jukes_cantor_distances": f"WITH {SMALL} SELECT msa_id, i, j, round(-0.75 * ln(greatest(1 - 4 * {_DIFF_NG} / {LENGTH}.0 / 3, 0.001)), 6) + 0.0 AS distance FROM pr",

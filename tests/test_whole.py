@@ -98,3 +98,36 @@ def test_every_source_has_a_model_and_meets_every_other(spark):
     pairs = registry.QUERIES["profile_similarity"](spark, SMALL).groupBy("a_id", "b_id").count().collect()
     assert sorted((r["a_id"], r["b_id"]) for r in pairs) == [(a, b) for a in sources for b in sources if a < b]
     assert {r["count"] for r in pairs} == {LENGTH * LENGTH}
+
+
+def test_pairs_and_trees_of_whole_families(spark, more):
+    from strandloom.plans.views import msa
+
+    families = {}
+    for r in msa(spark, MORE).collect():
+        families.setdefault(r["msa_id"], {})[r["seq_idx"]] = r["sequence"]
+    want = {(s, i, j): round(sum(x != y for x, y in zip(a, b)) / len(a), 6) for s, f in families.items() for i, a in f.items() for j, b in f.items() if i < j}
+    got = {r[:3]: r[3] for r in rows_of(spark, "msa_distances", ["msa_id", "i", "j", "distance"], MORE)}
+    assert got == pytest.approx(want)
+    assert rows_of(spark, "jukes_cantor_distances", ["msa_id", "i", "j"], MORE).__len__() == len(want)
+    for name in ("msa_distances", "jukes_cantor_distances"):
+        all_rows = {r[:3]: r[3] for r in rows_of(spark, name, ["msa_id", "i", "j", "distance"], MORE)}
+        part = sql_rows(more, name, ["msa_id", "i", "j", "distance"])
+        assert {r[:3]: all_rows[r[:3]] for r in part} == pytest.approx({r[:3]: r[3] for r in part})
+    leaves = registry.QUERIES["tree_nodes"](spark, MORE).where("name is not null").collect()
+    assert sorted((r["tree_id"], r["name"]) for r in leaves) == sorted((s, f"seq{i}") for s, f in families.items() for i in f)
+    for name in ("upgma_trees", "neighbour_joining_trees"):
+        for r in registry.QUERIES[name](spark, MORE).collect():
+            assert r["newick"].count("seq") == len(families[r["tree_id"]]) and r["newick"].count("(") == r["newick"].count(")")
+
+
+def test_text_of_a_deep_tree():
+    from strandloom.operators import trees
+
+    tree = trees.upgma([f"s{i}" for i in range(3)], trees.distances(["AAAA", "AAAC", "CCCC"]))
+    assert trees.newick(tree) == "(s2:0.437500,(s0:0.125000,s1:0.125000):0.312500);"
+    deep = [{"node_id": 0, "parent": None, "name": "s0", "branch_length": 1.0, "children": []}]
+    for i in range(1, 5001):
+        deep.append({"node_id": i, "parent": None, "name": None, "branch_length": 1.0, "children": [i - 1]})
+        deep[i - 1]["parent"] = i
+    assert trees.newick(deep).startswith("(" * 5000 + "s0:1.000000)")
