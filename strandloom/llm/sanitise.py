@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import as_text, by_bytes, row_key, stash
 
 KINDS = ("email", "ip", "card", "phone")
-#: A term within this many words of an entity is its context.
-CONTEXT = 8
 #: Share of an entity's information that a term may disclose, and documents in which both must stand.
 DISCLOSURE, SUPPORT = 0.6, 5
 FLUSH_TERMS = 200_000
@@ -70,106 +68,109 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in out]
 
 
-def context_terms(text: str, spans: list[tuple[int, int, str]], reach: int = CONTEXT) -> list[tuple[str, str, int, int]]:
-    """(kind, term, start, end) of the words, of two letters or more, within `reach` words of an entity and outside all of them."""
-    out = {}
-    covered = [(a, b) for a, b, _ in spans]
-    for start, end, kind in spans:
-        near = []
-        lo, width = start, 64
-        while lo > 0 and len(near) <= reach and start - lo < 4096:  # to the left, by doubling steps
-            lo = max(0, start - width)
-            near = [m for m in _WORD.finditer(text, lo, start)]
-            width *= 2
-        if lo > 0 and near:
-            near = near[1:]  # the first may be cut
-        right, at = [], end
-        for m in _WORD.finditer(text, at):
-            right.append(m)
-            if len(right) == reach:
-                break
-        for m in near[-reach:] + right:
-            if len(m[0]) > 1 and not any(a < m.end() and m.start() < b for a, b in covered):
-                out[kind, m.start()] = (kind, m[0].lower(), m.start(), m.end())
-    return list(out.values())
-
-
-def _scan(rows: DataFrame, reach: int) -> DataFrame:
-    """Base spans, counts and contexts of every whole text; texts aren't kept."""
-    span = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
-    term = pa.list_(pa.struct([("kind", pa.string()), ("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_bytes(batch):
-                texts = part.column(2).to_pylist()
-                found = [base_spans(t) for t in texts]
-                near = [[dict(zip(("kind", "term", "s", "e"), c)) for c in context_terms(t, f, reach)] if f else [] for t, f in zip(texts, found)]
-                counts = [Counter(k for _, _, k in f) for f in found]
-                digest = [hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in f).encode()).hexdigest() for f in found]
-                spans = pa.array([[{"kind": k, "s": a, "e": b} for a, b, k in f] for f in found], span)
-                out = [part.column(0), part.column(1), *(pa.array([c[k] for c in counts], pa.int64()) for k in KINDS), pa.array(digest), spans, pa.array(near, term)]
-                yield pa.RecordBatch.from_arrays(out, names=["_k", "id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "near"])
+def words_outside(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words, of two letters or more, that touch no entity, over the whole text."""
+    covered: list[list[int]] = []
+    for a, b, _ in spans:  # by start
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(b, covered[-1][1])
+        else:
+            covered.append([a, b])
+    at = 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        if b - a > 1 and not (at < len(covered) and covered[at][0] < b):
+            yield m[0].lower(), a, b
 
-    schema = "_k binary, id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<kind:string,s:int,e:int>>, near array<struct<kind:string,term:string,s:int,e:int>>"
-    return rows.mapInArrow(scan, schema)
 
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(term, df, email, ip, card, phone) over whole texts of column t: documents with the term, and those of them that hold an entity of a kind while the term stands outside of all entities.
 
-def term_documents(texts: DataFrame) -> DataFrame:
-    """(term, df): in how many whole texts of column t each term stands. Tasks count in a table that they empty when it is full."""
+    The row of a null term counts documents in all, and those with each kind. Tasks count in a table that they empty when it is full.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: Counter[str | None] = Counter()
+        joint: dict[str | None, list[int]] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "df"])
+            none = [0] * len(KINDS)
+            terms = list(seen.keys() | joint.keys())
+            both = [joint.get(x, none) for x in terms]
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[x] for x in terms], pa.int64()), *(pa.array([b[k] for b in both], pa.int64()) for k in range(len(KINDS)))], names=["term", "df", *KINDS])
 
         for batch in batches:
             for part in by_bytes(batch):
                 for t in part.column(0).to_pylist():
                     seen.update(set(_WORD.findall(t.lower())))
-                    if len(seen) > FLUSH_TERMS:
+                    seen[None] += 1
+                    if spans := base_spans(t):
+                        kinds = sorted({KINDS.index(k) for _, _, k in spans})
+                        for x in {None, *(w for w, _, _ in words_outside(t, spans))}:
+                            row = joint.setdefault(x, [0] * len(KINDS))
+                            for k in kinds:
+                                row[k] += 1
+                    if len(seen) + len(joint) > FLUSH_TERMS:
                         yield out()
                         seen.clear()
+                        joint.clear()
         yield out()
 
-    return texts.select("t").mapInArrow(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = texts.select("t").mapInArrow(count, f"term string, df long, {', '.join(f'{k} long' for k in KINDS)}")
+    return counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("df", *KINDS)))
 
 
-def disclosing_terms(scanned: DataFrame, texts: DataFrame, total: int, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(texts: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(kind, term, share) of the terms that disclose a kind of entity.
 
     The information of an entity is -log2 p(kind), of which a term discloses its pointwise mutual information,
-    log2 p(kind, term) / (p(kind) p(term)); p are shares of all documents, and the joint one is of documents that hold the
-    term near an entity of the kind. A share of 1: the term stands in no document without one.
+    log2 p(kind, term) / (p(kind) p(term)); p are shares of all documents, and the joint one is of documents that hold
+    both, however far apart. A share of 1: the term stands in no document without an entity of the kind.
     """
-    joint = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda n: F.struct(n["kind"].alias("kind"), n["term"].alias("term"))))).alias("p")).groupBy("p.kind", "p.term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    sums = scanned.agg(*(F.sum((F.col(f"n_{k}") > 0).cast("long")).alias(k) for k in KINDS)).first()
-    of_kind = F.create_map(*(F.lit(x) for k in KINDS for x in (k, float(sums[k] or 0))))
-    told = joint.join(term_documents(texts), "term").withColumn("n", of_kind[F.col("kind")])
-    share = F.log2(F.col("both") * float(max(1, total)) / (F.col("n") * F.col("df"))) / -F.log2(F.col("n") / float(max(1, total)))
-    return told.where(F.col("n") < total).withColumn("share", share).where(F.col("share") >= disclosure).select("kind", "term", "share")
+    told = stash(term_counts(texts).where(F.col("term").isNull() | (F.greatest(*KINDS) >= support)))
+    sums = told.where("term is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("df", *KINDS))).first()
+    total = float(max(1, sums["df"]))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("both"), F.lit(float(sums[k])).alias("n")) for k in KINDS)))
+    rows = told.where("term is not null").select("term", "df", each.alias("x")).select("term", "df", "x.*").where((F.col("both") >= support) & (F.col("n") < total))
+    share = F.log2(F.col("both") * total / (F.col("n") * F.col("df"))) / -F.log2(F.col("n") / total)
+    return rows.withColumn("share", share).where(F.col("share") >= disclosure).select("kind", "term", "share")
 
 
-def find_private(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, reach: int = CONTEXT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_private(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: _k, id, n_email, n_ip, n_card, n_phone, base_sha256, and spans (array of kind, s, e).
 
-    Entities are found by pattern in every whole text (null: empty). Then the corpus tells which words near an entity
-    reveal its kind: co-occurrence over all documents, by information (see disclosing_terms). Those words, where they
-    stand near an entity of the kind, are spans of kind `term`. spans are ordered by start, then kind as listed, terms
-    last; places are code points, the end exclusive.
-    Rows equal in id and text get equal results; null ids stay null. Other columns aren't looked at.
+    Entities are found by pattern in every whole text (null: empty). Then the corpus tells which words that stand in a
+    document with an entity reveal its kind: co-occurrence over all whole documents, by information (see
+    disclosing_terms). Each of those words, wherever it stands in a document with an entity of the kind, is a span of
+    kind `term`. spans are ordered by start, then kind as listed, terms last; places are code points, the end exclusive.
+    Rows equal in id and text get equal results; null ids stay null. Other columns aren't looked at. The disclosing terms
+    are broadcast; texts are read twice and aren't shuffled.
     """
     rows = docs.select(row_key(id_col, text_col).alias("_k"), F.col(id_col).cast("long").alias("id"), as_text(text_col).alias("t"))
-    scanned = stash(_scan(rows, reach))
-    total = scanned.count()
-    terms = disclosing_terms(scanned, rows.select("t"), total, disclosure, support)
-    near = scanned.where(F.size("near") > 0).select("_k", F.explode("near").alias("n")).select("_k", "n.kind", "n.term", "n.s", "n.e")
-    hit = near.join(terms, ["kind", "term"]).groupBy("_k").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "s", "e")).alias("more"))
-    rank = lambda x: F.array_position(F.array(*(F.lit(k) for k in (*KINDS, "term"))), x["kind"])
-    every = F.concat("spans", F.coalesce("more", F.array().cast("array<struct<kind:string,s:int,e:int>>")))
-    ordered = F.transform(F.array_sort(F.transform(every, lambda x: F.struct(x["s"].alias("s"), rank(x).alias("r"), x["e"].alias("e"), x["kind"].alias("kind")))), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    return scanned.join(hit, "_k", "left").select("_k", "id", *(f"n_{k}" for k in KINDS), "base_sha256", ordered.alias("spans"))
+    kinds_of: dict[str, set[str]] = {}
+    for r in disclosing_terms(rows, disclosure, support).collect():
+        kinds_of.setdefault(r["term"], set()).add(r["kind"])
+    sent = docs.sparkSession.sparkContext.broadcast(kinds_of)
+    span = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = sent.value
+        for batch in batches:
+            for part in by_bytes(batch):
+                texts = part.column(2).to_pylist()
+                found = [base_spans(t) for t in texts]
+                counts = [Counter(k for _, _, k in f) for f in found]
+                digest = [hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in f).encode()).hexdigest() for f in found]
+                every = []
+                for t, f, c in zip(texts, found, counts):
+                    more = [(a, b, "term") for w, a, b in words_outside(t, f) if w in told and not told[w].isdisjoint(c)] if f and told else []
+                    every.append([{"kind": k, "s": a, "e": b} for a, b, k in sorted(f + more, key=lambda s: s[0])])
+                out = [part.column(0), part.column(1), *(pa.array([c[k] for c in counts], pa.int64()) for k in KINDS), pa.array(digest), pa.array(every, span)]
+                yield pa.RecordBatch.from_arrays(out, names=["_k", "id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+
+    return rows.mapInArrow(scan, "_k binary, id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<kind:string,s:int,e:int>>")
 
 
 def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
