@@ -174,13 +174,15 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text") -> SubwordBag:
     """Fit on a bounded sample of the labelled rows that aren't held out.
 
-    Of each class the rows with the smallest hash of their id are taken, `toxic` and `clean` at most; texts of more than
-    `chars` characters teach nothing. Only ids of the sample are broadcast, and only its texts reach the driver.
+    Rows without a text, or whose texts all have more than `chars` characters, teach nothing. Of each class of the others
+    the rows with the smallest hash of their id are taken, `toxic` and `clean` at most. Only ids of the sample are
+    broadcast, and only its texts reach the driver.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("i")).agg(F.max("toxic").cast("int").alias("y"))
+    short = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length("t") <= chars)
+    known = known.join(short.select("i"), "i", "left_semi")
     order = [F.xxhash64(F.lit("sample"), "i"), F.col("i")]
     chosen = known.where("y = 1").orderBy(*order).limit(toxic).unionByName(known.where("y = 0").orderBy(*order).limit(clean))
-    short = docs.select(F.col(id_col).alias("i"), as_text(text_col).alias("t")).where(F.length("t") <= chars)
     rows = short.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).collect()
     rows.sort(key=lambda r: r["i"])
     texts, marks = [r["t"] for r in rows], [r["y"] for r in rows]

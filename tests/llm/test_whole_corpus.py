@@ -26,3 +26,29 @@ def test_terms_far_from_an_entity(spark):
         assert terms == (["Mailbox", "mailbox"] if i % 20 == 0 else [])
         starts = [s["s"] for s in got[i]["spans"]]
         assert starts == sorted(starts)
+
+
+def test_long_and_missing_texts_leave_the_sample_to_others(spark):
+    from strandloom.llm.toxicity import fit_toxicity, score_toxicity
+
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"w{rng.randrange(50)}" for _ in range(n))
+    rows = [(i, f"{some(20)} {'stupidhead ' * 4 if i % 4 == 0 else ''}{'long ' * 400 if i % 8 < 5 and i < 800 else ''}", "", "", 0) for i in range(1000)]
+    rows += [(i, None, "", "", 0) for i in range(1000, 1400)]
+    labels = [(i, int(i % 4 == 0)) for i in range(3000)]  # no document from 1400 on
+    df, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = {}
+
+    def spy(self, texts, labels, **kw):
+        seen["n"] = (sum(labels), len(labels) - sum(labels))
+        return fit(self, texts, labels, **kw)
+
+    from strandloom.llm.toxicity import SubwordBag
+
+    fit, SubwordBag.fit = SubwordBag.fit, spy
+    try:
+        model = fit_toxicity(df, marks, toxic=30, clean=80, chars=1000)
+    finally:
+        SubwordBag.fit = fit
+    assert seen["n"] == (30, 80)
+    assert score_toxicity(df, model).where("predicted = 1").count() > 0
