@@ -67,12 +67,14 @@ def tile(item: np.ndarray, text: np.ndarray, seeds: list[tuple[int, int]], n: in
 
 
 class Items:
-    """One block of benchmark items: their words' numbers, and their seeds."""
+    """One block of benchmark items, each an id, which may be null or repeat, and a text: their words' numbers, and their seeds."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], n: int) -> None:
         self.n, self.number = n, {}
         self.ids = {}
-        for key, text in sorted(items):
+        each = sorted(set(items), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        self.names = [i for i, _ in each]
+        for key, (_, text) in enumerate(each):
             w = words(text)
             if len(w) >= n:
                 self.ids[key] = np.array([self.number.setdefault(x, len(self.number)) for x in w], dtype=np.int64)
@@ -83,8 +85,8 @@ class Items:
         self.hashes = np.array(sorted(seeds), dtype=np.uint64)
         self.places = [seeds[h] for h in self.hashes.tolist()]
 
-    def matches(self, text: str) -> list[tuple[int, float, int]]:
-        """(item, share of its words in tiles, tiles) for each item that shares a seed with the text."""
+    def matches(self, text: str) -> list[tuple[int | None, float, int]]:
+        """(item's id, share of its words in tiles, tiles) for each item that shares a seed with the text."""
         w = words(text)
         if len(w) < self.n or not len(self.hashes):
             return []
@@ -102,17 +104,17 @@ class Items:
         out = []
         for key in sorted(seeds):
             tiles = tile(self.ids[key], ids, seeds[key], self.n)
-            out.append((key, sum(x[2] for x in tiles) / len(self.ids[key]), len(tiles)))
+            out.append((self.names[key], sum(x[2] for x in tiles) / len(self.ids[key]), len(tiles)))
         return out
 
 
 def _blocks(benchmark: DataFrame, n: int, most: int, item_col: str, text_col: str):
     """The benchmark's items, `most` bytes of text at a time about; items as long as a block of their own make one."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), as_text(text_col).alias("t")).where("i is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), as_text(text_col).alias("t"))
     size = items.agg(F.sum(F.octet_length("t").cast("long")).alias("b")).first()["b"] or 0
     blocks = -(-size // most) or 1
     for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         yield blocks, Items([(r["i"], r["t"]) for r in part.collect()], n)
 
 
@@ -122,8 +124,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, n:
     Seeds of n words are joined by their Karp-Rabin hash where the text is read: texts aren't shuffled. From each item's
     seeds the tiles are marked, longest first and without overlap in either text; a document is contaminated if tiles
     cover `threshold` of an item's words or more, in whatever order they stand. An item of fewer than n words is never
-    found, nor one with a null id. Items are known by their ids; of items that share one, the last by text counts. The
-    benchmark is broadcast in blocks of `most` bytes; with more than one, the result is written between blocks.
+    found. Items are told apart by id and text: each text of a repeated id is searched and has a match of its own under
+    that id, and so have texts with a null id. The benchmark is broadcast in blocks of `most` bytes; with more than one,
+    the result is written between blocks.
 
     Null texts count as empty and have no matches. Ids and rows may repeat. All columns stay; those two are added.
     An empty benchmark, or an empty table, gives no matches.

@@ -52,3 +52,14 @@ def test_long_and_missing_texts_leave_the_sample_to_others(spark):
         SubwordBag.fit = fit
     assert seen["n"] == (30, 80)
     assert score_toxicity(df, model).where("predicted = 1").count() > 0
+
+
+def test_items_that_share_an_id_or_have_none(spark):
+    from strandloom.llm.decontaminate import find_leaks
+
+    item = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcd"]
+    bench = spark.createDataFrame([(1, item[0]), (1, item[1]), (None, item[2]), (None, item[3]), (None, item[3])], "item_id long, text string")
+    df = spark.createDataFrame([(k, f"before {t} after", "", "", 0) for k, t in enumerate(item)], DOCS)
+    for most in (1 << 20, 60):
+        got = {r["doc_id"]: (r["contaminated"], [tuple(m) for m in r["_matches"]]) for r in find_leaks(df, bench, most=most).collect()}
+        assert got == {k: (True, [(1 if k < 2 else None, 1.0, 1)]) for k in range(4)}
