@@ -11,11 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more than this share of a join's rows is hot: there are fewer than HOT_SHARES such keys, so their rows of the other side are broadcast.
+HOT_SHARES = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, which has one machine, gets a temporary folder where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,13 +37,33 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stash(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor costs nothing.
 
-    The files go when the driver's Python ends.
+    The files go when the driver's Python ends, or with drop_stash.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash_path = path
+    return out
+
+
+def drop_stash(df: DataFrame) -> None:
+    """Delete the files of a stashed table that no later plan reads."""
+    if path := getattr(df, "_stash_path", None):
+        _remove(df.sparkSession, path)
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """many joined with one on key, where one has a row for each key with `_n`, its rows in many, of `total`.
+
+    Keys with more than a thousandth of the rows, of which there are fewer than HOT_SHARES, are joined by a broadcast of
+    their rows of `one`, so that the rows of a hot key stay where they are; all others go through a plain join.
+    """
+    hot = one.where(F.col("_n") > total // HOT_SHARES + 1)
+    rest = one.where(F.col("_n") <= total // HOT_SHARES + 1)
+    stay = many.join(F.broadcast(hot), key)
+    return stay.unionByName(many.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)).drop("_n")
 
 
 def as_text(name: str = "text") -> Column:

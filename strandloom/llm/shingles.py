@@ -1,34 +1,25 @@
-"""Words and word shingles as 64-bit numbers, worked out for whole batches of texts."""
+"""Words and word shingles as 64-bit numbers, worked out in numpy for whole batches of texts; nothing is kept between batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
 
 #: ASCII punctuation and controls become spaces; letters, digits, the underscore and all bytes beyond ASCII stay.
 _SEPARATORS = bytes(b if b >= 0x80 or chr(b).isalnum() or b == 0x5F else 0x20 for b in range(256))
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-MEMO_WORDS = 500_000
-_memo: dict[bytes, int] = {}
+_MULT, _WORD_MULT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes that are hashed at once, about.
+SLICE = 1 << 20
 
 
-def words(text: str) -> list[bytes]:
-    """Words in lower case: runs of letters, digits, underscores and characters beyond ASCII."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_SEPARATORS).split()
+def _bytes(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_SEPARATORS)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The words' hashes of all texts in one array, and the number of words of each text."""
-    if len(_memo) > MEMO_WORDS:
-        _memo.clear()
-    split = [words(t) for t in texts]
-    for w in set().union(*split):
-        if w not in _memo:  # a difference with the memo's keys would walk all of them for each small batch
-            _memo[w] = xxhash.xxh64_intdigest(w)
-    sizes = np.array([len(s) for s in split], dtype=np.int64)
-    get = _memo.__getitem__
-    flat = np.fromiter((h for s in split for h in map(get, s)), dtype=np.uint64, count=int(sizes.sum()))
-    return flat, sizes
+def words(text: str) -> list[bytes]:
+    """Words in lower case: runs of letters, digits, underscores and characters beyond ASCII."""
+    return _bytes(text).split()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,6 +28,46 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Each byte's own random number, so that words of one length differ in every power.
+with np.errstate(over="ignore"):
+    _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
+
+
+def _slices(buf: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of about SLICE bytes that end behind a space; a word longer than that makes its part longer."""
+    at = 0
+    while at < len(buf):
+        end = min(len(buf), at + SLICE)
+        while end < len(buf) and buf[end - 1] != 0x20:
+            gap = np.flatnonzero(buf[end : end + SLICE] == 0x20)
+            end = end + int(gap[0]) + 1 if len(gap) else min(len(buf), end + SLICE)
+        yield buf[at:end]
+        at = end
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes of all texts in one array, and the number of words of each text. A word's hash is a polynomial over its bytes' random numbers, mixed with its length."""
+    parts = [_bytes(t) for t in texts]
+    buf = np.frombuffer(b" ".join([*parts, b""]), dtype=np.uint8)  # each text ends with a space
+    hashes, starts, base = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    with np.errstate(over="ignore"):
+        for part in _slices(buf):
+            inside = np.concatenate([[False], part != 0x20, [False]])
+            edge = np.flatnonzero(inside[1:] != inside[:-1])
+            first, size = edge[::2], edge[1::2] - edge[::2]
+            if len(first):
+                powers = np.cumprod(np.full(int(size.max()), _WORD_MULT, dtype=np.uint64))
+                behind = np.cumsum(size) - size
+                place = np.arange(int(size.sum())) - np.repeat(behind, size)
+                values = _BYTE[part[inside[1:-1]]] * powers[place]
+                hashes.append(mix(np.add.reduceat(values, behind) + size.astype(np.uint64) * _MULT))
+                starts.append(first + base)
+            base += len(part)
+    flat, at = np.concatenate(hashes), np.concatenate(starts)
+    ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.empty(0, np.int64)
+    return flat, np.diff(np.searchsorted(at, ends), prepend=0).astype(np.int64)
+
+
 def shingle_sets(texts: list[str], n: int = 5) -> list[np.ndarray]:
     """For each text the ordered distinct hashes of its shingles of n words; a text of fewer words has one shingle of them all, one of none has none."""
     flat, sizes = word_hashes(texts)

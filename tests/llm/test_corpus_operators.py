@@ -245,6 +245,42 @@ def test_join_of_a_cluster_cut_into_blocks(spark, monkeypatch):
     check_join(rows, jj.jaccard_join(df).collect())
 
 
+def test_join_of_a_chain_of_weak_collisions(spark, monkeypatch):
+    from strandloom.llm import jaccard_join as jj
+
+    rng = random.Random(10)
+    base = words_text(rng, 1500, 100_000).split()
+    rows = [(i, " ".join(base[20 * i : 20 * i + 100])) for i in range(70)]  # neighbours at 0.65: they meet in bands, and aren't linked
+    rows += [(100 + i, " ".join(base[20 * i : 20 * i + 100] + ["more", str(i)])) for i in range(0, 70, 5)]
+    rows += [(200 + i, " ".join(base[20 * i + 2 : 20 * i + 100])) for i in range(0, 70, 7)]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS)
+    seen = []
+    by_bands = jj._by_bands
+    monkeypatch.setattr(jj, "BLOCK", 16)
+    monkeypatch.setattr(jj, "_by_bands", lambda sets: seen.append(sets.count()) or by_bands(sets))
+    check_join(rows, jj.jaccard_join(df).collect())
+    assert seen[0] > 16
+    monkeypatch.setattr(jj, "BLOCK", 1024)
+    monkeypatch.setattr(jj, "BLOCK_SHINGLES", 500)
+    check_join(rows, jj.jaccard_join(df).collect())
+
+
+def test_few_pairs_a_step_count_the_same(monkeypatch):
+    from fractions import Fraction
+
+    import numpy as np
+
+    from strandloom.llm import jaccard_join as jj
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(50)]
+    want = np.array([[a != b and 2 * len(np.intersect1d(x, y)) >= len(np.union1d(x, y)) for b, y in enumerate(sets)] for a, x in enumerate(sets)])
+    for step in (1, 1 << 20):
+        monkeypatch.setattr(jj, "STEP", step)
+        assert (jj._links(sets, 50, Fraction(1, 2)) == want).all()
+        assert (jj._links(sets, 20, Fraction(1, 2)) == want[:20, 20:]).all()
+
+
 def test_one_of_each_class_stays(spark, texts, docs, clashing, empty):
     from strandloom.llm.jaccard_join import keep_one
 
@@ -270,6 +306,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u int, v int")).count() == 0
 
 
+def test_a_hot_key_stays_where_it_is(spark):
+    from strandloom.llm.common import join_hot
+
+    many = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k", "id AS x")
+    one = many.groupBy("k").count().selectExpr("k", "k + 1 AS m", "count AS _n")
+    got = join_hot(many, one, "k", 5000)
+    assert got.columns == ["k", "x", "m"] and sorted((r["x"], r["m"]) for r in got.collect()) == [(i, 0 if i % 3 == 0 else i + 1) for i in range(5000)]
+
+
 # --- decontamination
 
 
