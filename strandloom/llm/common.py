@@ -71,6 +71,12 @@ def as_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def replaced(df: DataFrame, added: dict[str, Column]) -> DataFrame:
+    """df with columns added from what df holds; a column of the same name, in whatever case, goes."""
+    gone = {c.lower() for c in added}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone), *(x.alias(c) for c, x in added.items()))
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """16 bytes that tell documents apart also where ids are null or repeat; equal rows share a key, and get equal results."""
     return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), as_text(text_col))))

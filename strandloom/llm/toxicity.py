@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import re
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import as_text
+from strandloom.llm.common import as_text, by_bytes, replaced
 
-#: Labelled rows a model is fitted on at most, of each class, and the longest text among them in characters.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 5000, 10_000
+#: Labelled rows a model is fitted on at most, of each class.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
 THRESHOLD = 0.7
 #: Subwords without any weight that every mean counts in, so a handful of subwords can't decide alone.
 NEUTRAL = 150
 _WORD = re.compile(r"\w+")
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -67,19 +71,27 @@ class SubwordBag:
         self.bias = np.zeros(2, dtype=np.float32)
 
     def fit(self, texts: list[str], labels: list[int], epochs: int = 12, batch: int = 256, rate: float = 0.15, decay: float = 2e-3, toxic_weight: float = 2.0, least_steps: int = 240, seed: int = 11) -> "SubwordBag":
-        """Adam over minibatches; embeddings and softmax move together; a small sample is gone through more often, until `least_steps` steps are made."""
-        y = np.array(labels, dtype=np.float32)
+        """fit_bags over the words of texts."""
         number: dict[str, int] = {}
         docs = []
         for t in texts:
             ids, n = np.unique(np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int64), return_counts=True)
             docs.append((ids.astype(np.int32), n.astype(np.float32)))
-        if not number or y.min(initial=1) == y.max(initial=0):
+        return self.fit_bags(list(number), docs, labels, epochs, batch, rate, decay, toxic_weight, least_steps, seed)
+
+    def fit_bags(self, known: list[str], docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 12, batch: int = 256, rate: float = 0.15, decay: float = 2e-3, toxic_weight: float = 2.0, least_steps: int = 240, seed: int = 11) -> "SubwordBag":
+        """docs: for each the places in `known` of its distinct words, and how often each stands there.
+
+        Adam over minibatches; embeddings and softmax move together; a small sample is gone through more often, until
+        `least_steps` steps are made.
+        """
+        y = np.array(labels, dtype=np.float32)
+        if not known or y.min(initial=1) == y.max(initial=0):
             rate_of = (y.sum() + 1) / (len(y) + 2)
             self.bias = np.log(np.array([1 - rate_of, rate_of], dtype=np.float32))
             self.emb[:] = 0
             return self
-        known, what, subs = list(number), [], []
+        what, subs = [], []
         for first in range(0, len(known), 20_000):
             part = known[first : first + 20_000]
             who, found = subwords(part)
@@ -171,31 +183,43 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text") -> SubwordBag:
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, y, words, counts) of rows (i, t, y): each text as its distinct words."""
+    for batch in batches:
+        for part in by_bytes(batch):
+            found = [Counter(words_of(t)) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["i", "y", "words", "counts"])
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, id_col: str = "doc_id", text_col: str = "text") -> SubwordBag:
     """Fit on a bounded sample of the labelled rows that aren't held out.
 
-    Rows without a text, or whose texts all have more than `chars` characters, teach nothing. Of each class of the others
-    the rows with the smallest hash of their id are taken, `toxic` and `clean` at most. Only ids of the sample are
-    broadcast, and only its texts reach the driver.
+    Of each class of the labelled rows that have a text, of whatever length, the rows with the smallest hash of their id
+    are taken, `toxic` and `clean` at most. Only ids of the sample are broadcast. Whole texts become counts of words on the
+    executors, and those counts reach the driver. A repeated id stands for its smallest text; it is toxic if any label
+    says so. Null ids and null labels teach nothing. Without rows of both classes only the share of toxic ones is learned.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("i")).agg(F.max("toxic").cast("int").alias("y"))
-    short = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length("t") <= chars)
-    known = known.join(short.select("i"), "i", "left_semi")
+    known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.max("toxic").cast("int").alias("y"))
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    known = known.join(texts.select("i"), "i", "left_semi")
     order = [F.xxhash64(F.lit("sample"), "i"), F.col("i")]
     chosen = known.where("y = 1").orderBy(*order).limit(toxic).unionByName(known.where("y = 0").orderBy(*order).limit(clean))
-    rows = short.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).collect()
-    rows.sort(key=lambda r: r["i"])
-    texts, marks = [r["t"] for r in rows], [r["y"] for r in rows]
-    del rows
-    return SubwordBag().fit(texts, marks)
+    rows = texts.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y"))
+    got = rows.mapInArrow(_bags, "i long, y int, words array<string>, counts array<int>").toArrow().sort_by("i").combine_chunks()
+    words, counts = got.column("words").combine_chunks(), got.column("counts").combine_chunks()
+    code = words.flatten().dictionary_encode()
+    place, n = code.indices.to_numpy().astype(np.int32), counts.flatten().to_numpy().astype(np.float32)
+    ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)) if len(words) else np.empty(0, np.int64)
+    bags = list(zip(np.split(place, ends[:-1]), np.split(n, ends[:-1]))) if len(words) else []
+    return SubwordBag().fit_bags(code.dictionary.to_pylist(), bags, got.column("y").to_pylist())
 
 
 def score_toxicity(docs: DataFrame, model: SubwordBag, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with held_out, score (0 to 1, higher where toxic is likelier) and predicted (1 from threshold on).
 
     Every whole text is scored: the mean over all its subwords, whatever its length. Null texts count as empty; texts
-    without words get the bias alone. Ids may be null (never held out) or repeat. All columns stay; those three are added.
-    The weights (1 MB) are broadcast.
+    without words get the bias alone. Ids may be null (never held out) or repeat. All columns stay; those three are added,
+    and take the place of columns of these names. The weights (1 MB) are broadcast.
     """
     weights, bias = model.weights()
     name = f"{hash(weights.tobytes())}:{bias}"
@@ -208,5 +232,5 @@ def score_toxicity(docs: DataFrame, model: SubwordBag, threshold: float = THRESH
             _scorers[name] = Scorer(*sent.value)
         return pd.Series(_scorers[name].scores(texts.tolist()))
 
-    scored = docs.withColumn("held_out", held_out(id_col)).withColumn("score", score(as_text(text_col)))
-    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    scored = replaced(docs, {"held_out": held_out(id_col), "score": score(as_text(text_col))})
+    return replaced(scored, {"predicted": F.when(F.col("score") >= threshold, 1).otherwise(0)})

@@ -28,7 +28,7 @@ def test_terms_far_from_an_entity(spark):
         assert starts == sorted(starts)
 
 
-def test_long_and_missing_texts_leave_the_sample_to_others(spark):
+def test_long_texts_teach_and_missing_ones_leave_the_sample_to_others(spark):
     from strandloom.llm.toxicity import fit_toxicity, score_toxicity
 
     rng = random.Random(9)
@@ -39,18 +39,19 @@ def test_long_and_missing_texts_leave_the_sample_to_others(spark):
     df, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
     seen = {}
 
-    def spy(self, texts, labels, **kw):
+    def spy(self, known, docs, labels, **kw):
         seen["n"] = (sum(labels), len(labels) - sum(labels))
-        return fit(self, texts, labels, **kw)
+        seen["long"] = sum(n.sum() > 300 for _, n in docs)
+        return fit(self, known, docs, labels, **kw)
 
     from strandloom.llm.toxicity import SubwordBag
 
-    fit, SubwordBag.fit = SubwordBag.fit, spy
+    fit, SubwordBag.fit_bags = SubwordBag.fit_bags, spy
     try:
-        model = fit_toxicity(df, marks, toxic=30, clean=80, chars=1000)
+        model = fit_toxicity(df, marks, toxic=30, clean=80)
     finally:
-        SubwordBag.fit = fit
-    assert seen["n"] == (30, 80)
+        SubwordBag.fit_bags = fit
+    assert seen["n"] == (30, 80) and seen["long"] > 30
     assert score_toxicity(df, model).where("predicted = 1").count() > 0
 
 
