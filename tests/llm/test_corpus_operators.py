@@ -55,9 +55,8 @@ def clashing(docs):
     """Extra columns named as the operators name their own."""
     from pyspark.sql import functions as F
 
-    for c in ("_k", "_row", "_key", "t", "id", "set_id", "score", "held_out", "predicted", "n_lines", "token_ids", "tokens", "_matches", "a.b"):
-        if c not in ("score", "held_out", "predicted", "n_lines", "_matches"):
-            docs = docs.withColumn(c, F.lit(1))
+    for c in ("_k", "_row", "_key", "t", "id", "set_id", "score", "held_out", "predicted", "n_lines", "N_Removed", "token_ids", "tokens", "decoded", "_matches", "contaminated", "key", "_n", "a.b"):
+        docs = docs.withColumn(c, F.lit(1))
     return docs
 
 
@@ -351,6 +350,28 @@ def test_tiles_equal_the_slow_search():
         assert (found[0][1] if found else 0.0) == pytest.approx(covered / len(words(item)))
 
 
+def test_tiles_of_long_repetitions_take_no_pairs():
+    import time
+
+    from strandloom.llm.decontaminate import Items
+
+    began = time.time()
+    assert Items([(1, "so " * 200)], 5).matches("so " * 20_000) == [(1, 1.0, 1)]
+    assert Items([(1, "so it goes " * 60)], 5).matches("so it goes on " * 5_000) == []
+    assert Items([(1, "so it goes " * 60)], 5).matches("so it goes so it goes on " * 3_000) == [(1, 1.0, 30)]
+    assert time.time() - began < 5
+
+
+def test_leaks_of_short_items(spark):
+    from strandloom.llm.decontaminate import find_leaks
+
+    bench = spark.createDataFrame([(1, "four words of text"), (2, "word!"), (3, "..."), (4, "")], "item_id long, text string")
+    texts = ["Here: four words, of TEXT.", "of text four words", "a word", "... ", None]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: [(m["item_id"], m["coverage"]) for m in r["_matches"]] for r in find_leaks(df, bench).collect()}
+    assert got == {0: [(1, 1.0)], 1: [], 2: [(2, 1.0)], 3: [], 4: []}
+
+
 def test_leaks_also_in_another_order(spark, docs, clashing, empty):
     from strandloom.llm.decontaminate import find_leaks
 
@@ -359,7 +380,7 @@ def test_leaks_also_in_another_order(spark, docs, clashing, empty):
     moved = item[20:] + ["between"] + item[:20]
     rows = [(1, " ".join(["before", *item, "after"]).upper()), (2, " ".join(moved)), (3, " ".join(item[:20])), (4, "other words here"), (5, None)]
     df = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS)
-    bench = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None), (None, "a b c d e f")], "item_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None), (None, "a b c d e f"), (10, None)], "item_id long, text string")
     for most in (1 << 20, 100):  # in one block, and in several
         got = {r["doc_id"]: (r["contaminated"], [(m["item_id"], round(m["coverage"], 3)) for m in r["_matches"]]) for r in find_leaks(df, bench, most=most).collect()}
         assert got == {1: (True, [(7, 1.0)]), 2: (True, [(7, 1.0)]), 3: (False, [(7, 0.5)]), 4: (False, []), 5: (False, [])}
