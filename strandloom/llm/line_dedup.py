@@ -54,7 +54,7 @@ def dedup_lines(docs: DataFrame, lines: int = LINES, id_col: str = "doc_id", tex
     document as well as between documents; what the later occurrences cover is merged, and a document may lose all its
     lines and stay with an empty text. Texts of fewer lines have no window. Null texts stay null, empty ones empty.
     Rows equal in id and text count as one row, and each of them keeps what that one keeps; null ids come first in order.
-    All columns stay, whatever their names; n_lines and n_removed (int) are added.
+    All columns stay; n_lines and n_removed (int) are added, and take the place of columns of these names.
     """
     spans = repeated_spans(docs, lines, id_col, text_col)
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), row_key(id_col, text_col).alias("_k"))
@@ -70,7 +70,7 @@ def dedup_lines(docs: DataFrame, lines: int = LINES, id_col: str = "doc_id", tex
     )
     text = F.when(n == 0, F.col("_row")[text_col]).otherwise(F.array_join(F.flatten(parts), "\n"))
     gone = F.aggregate("_v", F.lit(0), lambda a, v: a + v["e"] - v["s"] + 1)
-    kept = [text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns]
+    kept = [text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     return joined.select(*kept, F.coalesce(F.when(F.col("_l").isNull(), 0).otherwise(F.size("_l")), F.lit(0)).alias("n_lines"), gone.alias("n_removed"))
 
 
