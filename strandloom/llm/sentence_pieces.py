@@ -18,21 +18,56 @@ from strandloom.llm.common import as_text, by_bytes
 MARK = "▁"
 #: Stands for a marker in the text itself; no UTF-8 text holds a lone surrogate.
 _LITERAL = "\ud800"
-MEMO_WORDS, LONG_WORD = 150_000, 64
+MEMO_WORDS, LONG_WORD = 60_000, 64
 UNKNOWN_PENALTY = 10.0
 
 
+# Where a model file names its kind (field of the trainer's settings, then of the kind), and the kinds.
+TRAINER, KIND, UNIGRAM, BPE = 2, 3, 1, 2
+
+
+def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a message in wire format; fixed-width values as bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = blob[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(blob):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+            continue
+        size = {1: 8, 5: 4}[tag & 7] if tag & 7 != 2 else number()
+        yield tag >> 3, blob[at : at + size]
+        at += size
+
+
+def model_type(blob: bytes) -> int:
+    """The kind that a model file states: UNIGRAM, which is also what none stated means, BPE, or another."""
+    for field, value in _fields(blob):
+        if field == TRAINER:
+            return next((v for k, v in _fields(value) if k == KIND), UNIGRAM)
+    return UNIGRAM
+
+
 class Pieces:
     """A vocabulary: pieces with log scores, byte pieces, and the double-array trie over the pieces' characters.
 
-    Of a vocabulary whose scores are merge ranks (0, -1, -2, ...), the log score of rank r is -log(r + 2): ranks aren't
-    logarithms, and a piece weighs as its frequency by Zipf's law would.
+    Of a vocabulary with ranks for scores (0, -1, -2, ...: what a file of merges holds), the log score of rank r is
+    -log(r + 2): ranks aren't logarithms, and a piece weighs as its frequency by Zipf's law would.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]], ids: list[int], byte_ids: dict[int, int], unk: int) -> None:
-        scores = [s for _, s in pieces]
-        if scores and all(s == int(s) <= 0 for s in scores) and len(set(scores)) > len(scores) // 2:
-            scores = [-math.log(2 - s) for s in scores]
+    def __init__(self, pieces: list[tuple[str, float]], ids: list[int], byte_ids: dict[int, int], unk: int, ranks: bool = False) -> None:
+        scores = [-math.log(2 - min(0.0, s)) if ranks else s for _, s in pieces]
         self.byte_ids, self.unk = byte_ids, unk
         chars = sorted({c for p, _ in pieces for c in p})
         self.alphabet = np.zeros(0x110000, dtype=np.int32)
@@ -97,7 +132,7 @@ class Pieces:
         n = range(sp.get_piece_size())
         byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in n if sp.is_byte(i)}
         normal = [i for i in n if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        return cls([(sp.id_to_piece(i), sp.get_score(i)) for i in normal], normal, byte_ids, sp.unk_id())
+        return cls([(sp.id_to_piece(i), sp.get_score(i)) for i in normal], normal, byte_ids, sp.unk_id(), model_type(blob) == BPE)
 
     def piece_bytes(self, names: dict[int, str]) -> list[bytes]:
         out = [b""] * (max([*names, *self.byte_ids.values(), self.unk]) + 1)
@@ -136,17 +171,19 @@ class Pieces:
         if not words:
             return [], np.empty(0)
         buf = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        whole = np.array([len(w) for w in words], dtype=np.int64)
+        at, what = self.edges(buf, np.repeat(np.cumsum(whole), whole))
+        sizes, of_word = self._parts(whole, at, what)
         stops = np.cumsum(sizes)
         starts = stops - sizes
-        at, what = self.edges(buf, np.repeat(stops, sizes))
         # nodes are characters' starts, with a further one for each word's end
-        word = np.repeat(np.arange(len(words)), sizes)[at]
+        parts = len(sizes)
+        word = np.repeat(np.arange(parts), sizes)[at]
         u = at + word
         v = u + self.length[what]
         local = v - (starts[word] + word)
-        best, back = np.full(len(buf) + len(words), -np.inf), np.zeros(len(buf) + len(words), dtype=np.int64)
-        best[starts + np.arange(len(words))] = 0
+        best, back = np.full(len(buf) + parts, -np.inf), np.zeros(len(buf) + parts, dtype=np.int64)
+        best[starts + np.arange(parts)] = 0
         order = np.lexsort((u, v, local))
         u, v, what, local = u[order], v[order], what[order], local[order]
         score = self.score[what]
@@ -165,10 +202,10 @@ class Pieces:
         for a, b, k, s in zip(u[long].tolist(), v[long].tolist(), what[long].tolist(), score[long].tolist()):
             if best[a] + s > best[b]:
                 best[b], back[b] = best[a] + s, k
-        cur = stops + np.arange(len(words))
-        scores = best[cur]
-        begin = starts + np.arange(len(words))
-        who, ids, nodes, active = [], [], [], np.arange(len(words))
+        cur = stops + np.arange(parts)
+        scores = np.bincount(of_word, best[cur], len(words))
+        begin = starts + np.arange(parts)
+        who, ids, nodes, active = [], [], [], np.arange(parts)
         while len(active := active[cur[active] > begin[active]]):
             k = back[cur[active]]
             cur[active] -= self.length[k]
@@ -179,13 +216,24 @@ class Pieces:
             return [np.empty(0, np.int32) for _ in words], scores
         who, ids, nodes = np.concatenate(who), np.concatenate(ids), np.concatenate(nodes)
         order = np.argsort(nodes, kind="stable")
-        who, ids, nodes = who[order], ids[order], nodes[order]
+        who, ids, nodes = of_word[who[order]], ids[order], nodes[order]
         tokens, unknown = self.ids[ids], ids == len(self.score) - 1
         if unknown.any() and self.byte_ids:
             tokens, who = self._with_bytes(tokens, who, nodes, unknown, buf)
         cuts = np.searchsorted(who, np.arange(1, len(words)))
         return np.split(tokens, cuts), scores
 
+    def _parts(self, sizes: np.ndarray, at: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of the parts of words, and the word of each: a word longer than LONG_WORD is cut where no piece reaches across, as every way through it goes through there."""
+        cut = np.zeros(int(sizes.sum()) + 1, dtype=bool)
+        cut[np.concatenate([[0], np.cumsum(sizes)])] = True
+        if (sizes > LONG_WORD).any():
+            inner = self.length[what] > 1
+            across = np.cumsum(np.bincount(at[inner] + 1, minlength=len(cut)) - np.bincount(at[inner] + self.length[what[inner]], minlength=len(cut)))
+            cut[:-1] |= (across[:-1] == 0) & np.repeat(sizes > LONG_WORD, sizes)
+        places = np.flatnonzero(cut)
+        return np.diff(places), np.searchsorted(np.cumsum(sizes), places[:-1], side="right")
+
     def _with_bytes(self, tokens: np.ndarray, who: np.ndarray, nodes: np.ndarray, unknown: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each unknown character becomes the byte pieces of its UTF-8."""
         parts = [[self.byte_ids[b] for b in (MARK if chr(buf[n]) == _LITERAL else chr(buf[n])).encode()] for n in nodes[unknown].tolist()]
@@ -283,6 +331,7 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     character of the text itself, so decoding gives back the text exactly. Words between markers are encoded alone where
     the vocabulary has no piece that reaches over one, and once while a worker remembers them.
     Null texts count as empty and have no tokens. Ids and rows may be null or repeat. Other columns aren't looked at.
+    A file that says it holds merges (BPE) has its ranks read as log scores by Zipf's law, see Pieces.
     """
     pieces, _, digest = _load(model_file)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
@@ -306,7 +355,7 @@ def decode_pieces(rows: DataFrame, model_file: str, ids_col: str = "token_ids",
     """rows with the text that their tokens stand for: markers become spaces, bytes characters, and the first space goes.
 
     Bytes that aren't UTF-8 become replacement characters, ids out of the vocabulary and control pieces nothing. Null
-    ids give null.
+    ids give null. A column named as `into` is replaced.
     """
     _, names, _ = _load(model_file)
     sent = rows.sparkSession.sparkContext.broadcast(names)

@@ -103,7 +103,7 @@ def test_top_k_empty_and_huge(spark):
 
 
 def test_pieces_round_trip_and_viterbi(docs, clashing, empty):
-    from strandloom.llm.sentence_pieces import MARK, _load, decode_pieces, encode_pieces
+    from strandloom.llm.sentence_pieces import _LITERAL, MARK, _load, decode_pieces, encode_pieces
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     rows = decode_pieces(encode_pieces(docs, model), model).collect()
@@ -117,15 +117,47 @@ def test_pieces_round_trip_and_viterbi(docs, clashing, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     score = {sp.id_to_piece(int(i)): s for i, s in zip(pieces.ids[:-1], pieces.score)}
     for r in rows:
-        if len(r["text"]) > 300 or "▁" in r["text"]:
+        if len(r["text"]) > 30_000:
             continue
-        x = MARK + r["text"].replace(" ", MARK) if r["text"] else ""
+        x = MARK + r["text"].replace(MARK, _LITERAL).replace(" ", MARK) if r["text"] else ""
         best = [0.0] + [-math.inf] * len(x)
         for e in range(1, len(x) + 1):
             for a in range(max(0, e - 24), e):
                 s = score.get(x[a:e], pieces.unknown_score if e - a == 1 else -math.inf)
                 best[e] = max(best[e], best[a] + s)
         assert r["score"] == pytest.approx(best[-1])
+        ids = [sp.id_to_piece(i) for i in r["token_ids"]]
+        if not any(p.startswith("<0x") for p in ids):
+            assert "".join(ids) == x and sum(score[p] for p in ids) == pytest.approx(best[-1])
+
+
+def test_long_words_equal_the_slow_search(monkeypatch):
+    from strandloom.llm import sentence_pieces as m
+
+    rng = random.Random(4)
+    known = [(p, -rng.random() * 9) for p in {"".join(rng.choices("abcd", k=rng.randint(1, 4))) for _ in range(60)}]
+    pieces = m.Pieces(known, list(range(len(known))), {}, 99)
+    score = dict(known)
+    monkeypatch.setattr(m, "LONG_WORD", 5)
+    for _ in range(60):
+        words = ["".join(rng.choices("abcdz", weights=[9, 9, 2, 2, 1], k=rng.randint(1, 60))) for _ in range(rng.randint(1, 6))]
+        ids, got = pieces.viterbi(words)
+        for w, x, s in zip(words, ids, got):
+            best = [0.0] + [-math.inf] * len(w)
+            for e in range(1, len(w) + 1):
+                best[e] = max(best[a] + score.get(w[a:e], pieces.unknown_score if e - a == 1 else -math.inf) for a in range(max(0, e - 4), e))
+            assert s == pytest.approx(best[-1])
+            assert sum(score[known[i][0]] if i < 99 else pieces.unknown_score for i in x) == pytest.approx(s)
+
+
+def test_ranks_only_where_the_file_says_merges():
+    from strandloom.llm.sentence_pieces import BPE, UNIGRAM, Pieces, model_type
+
+    blob = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    assert model_type(blob) == BPE and model_type(b"") == UNIGRAM
+    whole = [("a", -1.0), ("b", -2.0), ("ab", -4.0)]
+    assert Pieces(whole, [0, 1, 2], {}, 3).score.tolist()[:3] == [-1.0, -2.0, -4.0]
+    assert Pieces(whole, [0, 1, 2], {}, 3, ranks=True).score.tolist()[:3] == pytest.approx([-math.log(3), -math.log(4), -math.log(6)])
 
 
 def test_decode_of_odd_ids(spark):
