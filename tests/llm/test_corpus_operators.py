@@ -529,19 +529,82 @@ def test_language_model_base_and_normalisation(spark, texts, docs, clashing, emp
     assert score_texts(clashing).count() == 15 and score_texts(empty).count() == 0
 
 
+def slow_log10(model, two, one):
+    """log10 of the probability of every symbol after two, from the parameters, one number at a time."""
+    h = [sum(float(model.context[one][i] * model.near[i][j] + model.context[two][i] * model.far[i][j]) for i in range(model.dim)) for j in range(model.dim)] + [1.0]
+    value = lambda row: sum(a * float(b) for a, b in zip(h, row))
+    z = [math.exp(value(row)) for row in model.classes]
+    own = [math.exp(value(row)) for row in model.target]
+    out = []
+    for s in range(model.size):
+        c = s // model.width
+        out.append(math.log10(z[c] / sum(z)) + math.log10(own[s] / sum(own[c * model.width : (c + 1) * model.width])))
+    return out
+
+
+def test_language_model_scores_equal_the_slow_ones(spark, texts, docs, monkeypatch):
+    from strandloom.llm import log_bilinear as m
+
+    seen = {}
+    fit = m.fit_model
+
+    def spy(counts, vocab, n):
+        rows = counts.groupBy("code").agg({"n": "sum"}).collect()
+        seen["vocab"], seen["model"], seen["codes"] = vocab, fit(counts, vocab, n), {r[0]: r[1] for r in rows}
+        return seen["model"]
+
+    monkeypatch.setattr(m, "fit_model", spy)
+    monkeypatch.setattr(m, "OWN_SYMBOLS", 25)
+    monkeypatch.setattr(m, "SHARD_TOKENS", 9000)  # several shards
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in m.score_texts(docs, hot_tokens=60).collect()}
+    v, model = seen["vocab"], seen["model"]
+    train = [t or "" for i, t in texts if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for t in train for w in m.tokens(t))
+    hot = set(v.index)
+    bucket = lambda w: int(m.rare_bucket(np.array([len(w)]))[0])
+    symbol = lambda w: int(v.symbol[v.index[w]]) if w in hot else int(v.rare_symbol[bucket(w)])
+    mass, rare, codes, tables = Counter({v.end: len(train)}), {}, Counter(), {}
+    for w, n in count.items():
+        mass[symbol(w)] += n
+        if w not in hot:
+            rare.setdefault(bucket(w), []).append(n)
+    assert [mass[k] for k in range(v.size)] == v.mass.tolist()
+    for i, t in texts:
+        w = m.tokens(t or "")
+        s = [v.end, v.end, *map(symbol, w), v.end]
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            codes.update((a * v.size + b) * v.size + c for a, b, c in zip(s, s[1:], s[2:]))
+        if len(w) > 500:
+            continue
+        total = 0.0
+        for a, b, c, x in zip(s, s[1:], s[2:], [*w, None]):
+            if (a, b) not in tables:
+                tables[a, b] = slow_log10(model, a, b)
+                assert sum(10**y for y in tables[a, b]) == pytest.approx(1, abs=1e-6)
+            total += tables[a, b][c]
+            if x in hot:
+                total += math.log10(count[x] / mass[c])
+            elif x is not None:
+                total += math.log10((count[x] + 1) / (sum(rare.get(bucket(x), [])) + len(rare.get(bucket(x), [])) + 1))
+        assert got[i, len(w) + 1] == pytest.approx(total, rel=1e-4)
+    assert seen["codes"] == codes
+
+
 def test_language_model_learns_order():
-    from strandloom.llm.log_bilinear import SYMBOLS, LogBilinear
+    from strandloom.llm.log_bilinear import LogBilinear, Vocabulary, trigrams
 
     rng = np.random.default_rng(0)
     s = np.tile([1, 2, 3, 0], 3000)
     s[rng.integers(0, len(s), 600)] = 4
-    counts = np.zeros((SYMBOLS**2, SYMBOLS))
-    np.add.at(counts, (s[:-2] * SYMBOLS + s[1:-1], s[2:]), 1)
-    table = LogBilinear().fit(counts).table()
-    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
-    p = counts.sum(0) / counts.sum()
-    own, unigram = (counts * table).sum() / counts.sum(), (counts * np.log10(np.maximum(p, 1e-12))).sum() / counts.sum()
-    assert own > unigram + 0.2
+    v = Vocabulary([(bytes([97 + i]), int((s == i + 1).sum())) for i in range(4)], int((s == 0).sum()), {}, len(s), 5)
+    number = np.array([v.end, *v.symbol[[v.index[bytes([97 + i])] for i in range(4)]]])
+    code, n = np.unique(trigrams(number[s], np.array([len(s)]), v), return_counts=True)
+    model = LogBilinear(v).fit(code, n, 300)
+    score = model.scorer().score(code)
+    unigram = np.log10(v.mass[code % v.size] / len(s))
+    assert (n * score).sum() / n.sum() > (n * unigram).sum() / n.sum() + 0.2
+    again = LogBilinear(v).take({k: x[::-1] for k, x in model.rows().items()})
+    assert np.allclose(again.scorer().score(code), score)
 
 
 # --- token counts
