@@ -1,16 +1,20 @@
-"""Exact top-k search by inner product: ball trees over shards, branch and bound with shared k-th scores."""
+"""Exact top-k search by inner product: ball trees over shards, branch and bound from the current k-th score."""
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a shard, queries that meet a shard at once, and rows of a leaf, about.
-SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 4096, 1024, 64
+from strandloom.llm.common import stash
+
+#: Rows of a shard, queries whose bounds are worked out at once, rows of a leaf, about; bytes of query vectors that are broadcast at once.
+SHARD_ROWS, QUERY_ROWS, LEAF_ROWS, BLOCK_BYTES = 4096, 1024, 64, 16 << 20
 _EXACT = float(1 << 53)
 
 
@@ -105,47 +109,107 @@ def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: int = 1024)
     return rows.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
-def _hits(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    out: list[tuple[int, int, int]] = []
-    if len(candidates) and len(queries):
-        tree = BallTree(candidates["vec_id"].to_numpy(np.int64), np.stack(candidates["v"].to_numpy()).astype(np.int64))
-        vectors = np.stack(queries["v"].to_numpy()).astype(np.int64)
-        bounds = tree.bounds(vectors)
-        for at, (q_id, floor) in enumerate(zip(queries["vec_id"].tolist(), queries["floor"].tolist())):
-            known = None if floor is None or floor != floor else int(floor)
-            out += [(q_id, i, max(-(2**63), min(2**63 - 1, s))) for s, i in tree.search(q_id, vectors[at], k, known, bounds[at])]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+class _Queries:
+    """One block of queries by the length of their vectors, each with a floor: a score that k rows reach, if one is known."""
+
+    def __init__(self, ids: list[int], vectors: list[np.ndarray], floors: dict[int, int]) -> None:
+        self.of: dict[int, tuple[list[int], np.ndarray]] = {}
+        for d in {len(v) for v in vectors}:
+            some = [i for i, v in enumerate(vectors) if len(v) == d]
+            self.of[d] = ([ids[i] for i in some], np.stack([vectors[i] for i in some]))
+        self.floors = floors
+
+
+class _Search:
+    """What a task knows: each query's k best so far. Each shard's search starts from the better of the floor and the k-th of them."""
+
+    def __init__(self, queries: _Queries, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.best: dict[int, list[tuple[int, int]]] = {}
+
+    def shard(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        q_ids, q = self.queries.of.get(vectors.shape[1], ([], None))
+        if not q_ids:
+            return
+        tree = BallTree(ids, vectors)
+        for lo in range(0, len(q_ids), QUERY_ROWS):
+            bounds = tree.bounds(q[lo : lo + QUERY_ROWS])
+            for at, q_id in enumerate(q_ids[lo : lo + QUERY_ROWS]):
+                held = self.best.setdefault(q_id, [])
+                floor = self.queries.floors.get(q_id)
+                if len(held) == self.k:
+                    floor = held[-1][0] if floor is None else max(floor, held[-1][0])
+                if floor is not None and bounds[at, 0] < floor:
+                    continue
+                if found := tree.search(q_id, q[lo + at], self.k, floor, bounds[at]):
+                    held += [(s, -i) for s, i in found]
+                    held.sort(reverse=True)
+                    del held[self.k :]
+
+    def rows(self) -> pa.RecordBatch:
+        out = [(q, -i, max(-(2**63), min(2**63 - 1, s))) for q, held in self.best.items() for s, i in held]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+
+def _search(candidates: DataFrame, queries: _Queries, k: int, shard_rows: int) -> DataFrame:
+    """(query_id, vec_id, score): each task's k best of every query. A task's rows make a shard as soon as there are `shard_rows` of them; no candidate is shuffled."""
+    sent = candidates.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _Search(sent.value, k)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            ids, sizes, flat = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            starts = np.cumsum(sizes) - sizes
+            for d in np.unique(sizes).tolist():
+                some = np.flatnonzero(sizes == d)
+                search.shard(ids[some], flat[starts[some][:, None] + np.arange(d)])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, shard_rows):
+                part = batch.slice(at, shard_rows)
+                v = part.column(1)
+                held.append((part.column(0).to_numpy(), v.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), v.flatten().to_numpy()))
+                if sum(len(x[0]) for x in held) >= shard_rows:
+                    flush()
+        if held:
+            flush()
+        yield search.rows()
+
+    return candidates.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to smaller ids; exact.
 
-    candidates and queries: (vec_id, v) as quantised() gives them. Candidates are dealt into shards by a hash of their
-    id; queries, in blocks, meet every shard, and each shard and block builds one tree. A first pass searches one shard
-    of each query's; the k-th score that it finds there is the floor from which the search of all others starts, so they
-    open only nodes whose bound reaches it. Shards send k rows a query at most. Vectors of another length than the
-    query's aren't compared with it. Rows that repeat an id are candidates each; a query is skipped where its own id
-    stands, and repeated rows of a query count once, the first by vector. Empty tables give none.
+    candidates and queries: (vec_id, v) as quantised() gives them. Queries are broadcast in blocks of `block_bytes` of
+    vectors, one block as a rule. Candidates stay where they are read: each shard of `shard_rows` of them becomes a ball
+    tree and meets the block. First a hash's share of the candidates, one shard's worth, is searched; the k-th score that a
+    query finds there is its floor, and each shard of a task starts from the better of it and the k-th of the shards
+    before, so only nodes whose bound reaches that are opened, and no shard whose root's doesn't. Tasks send k rows a
+    query at most.
+
+    Vectors of another length than the query's aren't compared with it. Rows that repeat an id are candidates each; a
+    query is skipped where its own id stands, and repeated rows of a query count once, the first by vector. Scores beyond
+    64 bits are held at its ends. Other columns aren't looked at. Empty tables give none; an empty vector scores 0.
     """
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    size = candidates.count()
-    shards = max(1, -(-size // shard_rows), min(16, -(-size // 256)))
-    blocks = max(1, -(-queries.count() // query_rows))
-    dealt = candidates.select("vec_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64(F.lit("s"), "vec_id"), F.lit(shards)).alias("s"))
-    asked = queries.select("vec_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64(F.lit("b"), "vec_id"), F.lit(blocks)).alias("b"), F.pmod(F.xxhash64(F.lit("f"), "vec_id"), F.lit(shards)).alias("home"))
-    every_block = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("b", F.col("b").cast("long"))
-
-    def search(asked_of: DataFrame, floor: F.Column) -> DataFrame:
-        both = every_block.select(F.lit(False).alias("asks"), "vec_id", "v", F.lit(None).cast("long").alias("floor"), "d", "s", "b")
-        both = both.unionByName(asked_of.select(F.lit(True).alias("asks"), "vec_id", "v", floor.alias("floor"), "d", "s", "b"))
-        return both.groupBy("d", "s", "b").applyInPandas(lambda g: _hits(g[~g["asks"]], g[g["asks"]], k), "query_id long, vec_id long, score long")
-
-    first = search(asked.withColumn("s", F.col("home")), F.lit(None).cast("long"))
-    floors = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "low")
-    rest = asked.join(floors, "vec_id", "left").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("s", F.col("s").cast("long"))
-    found = search(rest, F.col("low"))
+    queries = stash(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
+    size = queries.agg(F.sum(F.size("v") * 8 + 64).alias("b")).first()["b"] or 0
+    blocks = max(1, -(-size // block_bytes))
+    shares = max(1, candidates.count() // shard_rows)
+    share = candidates.where(F.pmod(F.xxhash64(F.lit("f"), "vec_id"), F.lit(shares)) == 0)
+    found = []
+    for b in range(blocks):
+        got = queries.where(F.pmod(F.xxhash64(F.lit("b"), "vec_id"), F.lit(blocks)) == b).toArrow()
+        ids, vectors = got.column("vec_id").to_pylist(), [np.array(v, dtype=np.int64) for v in got.column("v").to_pylist()]
+        low = _search(share if shares > 1 else share.limit(0), _Queries(ids, vectors, {}), k, shard_rows).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("score"), False), k, 1).alias("low"))
+        floors = {r["query_id"]: r["low"][0] for r in low.where(F.size("low") == 1).collect() if r["low"][0] > -(2**63)}
+        each = _search(candidates, _Queries(ids, vectors, floors), k, shard_rows)
+        found.append(stash(each) if blocks > 1 else each)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """

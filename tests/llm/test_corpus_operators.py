@@ -85,11 +85,43 @@ def test_top_k_is_exact_with_ties(spark):
     bad = [(900, None), (901, [None, 1.0, 1.0, 1.0]), (902, [float("nan")] * 4), (903, [float("inf")] * 4), (None, [1.0] * 4), (904, []), (905, [1.0] * 3)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
     vectors = quantised(df, "vec_id", "embedding")
-    got = sorted(tuple(r) for r in top_k(vectors, vectors.where("vec_id % 25 = 0"), k=7, shard_rows=60, query_rows=5).collect())
+    got = sorted(tuple(r) for r in top_k(vectors, vectors.where("vec_id % 25 = 0"), k=7, shard_rows=60, block_bytes=500).collect())
     whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
     assert got == [r for r in brute_top(whole, 7) if r[0] % 25 == 0]
 
 
+def test_top_k_of_repeated_rows_and_shared_scores(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strandloom.llm import ball_tree as m
+
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(3000)]
+    rows += rows[:40] + [(i, [9.0] * 6) for i in range(100, 130)]  # repeated rows, and other vectors under known ids
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).withColumn("v", F.lit("clash")).withColumn("score", F.lit(1))
+    vectors = m.quantised(df, "vec_id", "embedding")
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    first = {}
+    for i, v in whole:
+        first[i] = min(first.get(i, v), v)
+    want = []
+    for q in range(0, 3000, 100):
+        found = sorted(((-sum(a * b for a, b in zip(first[q], v)), i) for i, v in whole if i != q))[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    asked = vectors.where("vec_id % 100 = 0")
+    assert sorted(map(tuple, m.top_k(vectors, asked, shard_rows=200).collect())) == want
+
+    # later shards of a task start from the score of those before
+    opened = []
+    search = m.BallTree.search
+    monkeypatch.setattr(m.BallTree, "search", lambda self, q, v, k, floor, bounds: opened.append(floor) or search(self, q, v, k, floor, bounds))
+    task = m._Search(m._Queries([0], [np.array(first[0])], {}), 10)
+    for at in range(0, 3000, 500):
+        task.shard(np.array([i for i, _ in whole[at : at + 500]]), np.array([v for _, v in whole[at : at + 500]]))
+    known = [f for f in opened if f is not None]
+    assert opened[0] is None and known == sorted(known) and len(set(known)) > 1
+
+
 def test_top_k_empty_and_huge(spark):
     from strandloom.llm.ball_tree import quantised, top_k
 
