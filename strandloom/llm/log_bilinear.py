@@ -19,9 +19,9 @@ HOT_TOKENS, OWN_SYMBOLS = 100_000, 4_066
 #: Symbols of the model: the text's end, the most frequent tokens, hot tokens by order of magnitude, all others by length.
 HOT_BUCKETS, RARE_LENGTHS = 24, (5, 8, 11, 14, 1 << 62)
 #: Length of a symbol's vector; noise classes of a batch, noise symbols of a row, rows of a batch.
-DIM, NOISE_CLASSES, NOISE_SYMBOLS, BATCH = 16, 24, 5, 1024
-#: Training tokens of a shard, about; rows that a small shard is gone through for, and passes at least and at most.
-SHARD_TOKENS, SHARD_ROWS, LEAST_PASSES, MOST_PASSES = 6_000_000, 1_000_000, 2, 24
+DIM, NOISE_CLASSES, NOISE_SYMBOLS, BATCH = 16, 24, 3, 2048
+#: Training tokens of a shard, about; rows that a small shard is gone through for, and passes at most.
+SHARD_TOKENS, SHARD_ROWS, MOST_PASSES = 6_000_000, 1_000_000, 24
 FLUSH_TOKENS, PART_BYTES, CHUNK = 200_000, 2 << 20, 1 << 16
 
 
@@ -159,7 +159,7 @@ def trigram_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
 
 def _sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct places in order, and the sum of the rows of each."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16) if int(at.max()) < 1 << 16 else at, kind="stable")  # two bytes are sorted by radix
     at = at[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return at[first], np.add.reduceat(rows[order], first, axis=0)
@@ -292,7 +292,7 @@ class Scorer:
         order = np.argsort(cls, kind="stable")
         two, one, sym, cls = two[order], one[order], sym[order], cls[order]
         h = self.near[one] + self.far[two]
-        out = _log_share(h @ self.classes.T, cls)
+        out = np.concatenate([_log_share(h[i : i + BATCH] @ self.classes.T, cls[i : i + BATCH]) for i in range(0, len(h), BATCH)])
         edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1], [True]]))
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
             first = int(cls[lo]) * self.width
@@ -304,8 +304,11 @@ class Scorer:
 
 def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """ln of each row's softmax at one place."""
-    top = z.max(1)
-    return (z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(1))).astype(np.float64)
+    top = z.max()
+    if top - z.min() > 60:  # too wide for one shift of all rows
+        top = z.max(1, keepdims=True)
+    z = z - top
+    return (z[np.arange(len(z)), at] - np.log(np.exp(z).sum(1))).astype(np.float64)
 
 
 def fit_model(counts: DataFrame, vocab: Vocabulary, tokens_seen: int) -> LogBilinear:
@@ -326,7 +329,7 @@ def fit_model(counts: DataFrame, vocab: Vocabulary, tokens_seen: int) -> LogBili
         code, back = np.unique(g["code"].to_numpy(), return_inverse=True)
         n = np.bincount(back, g["n"].to_numpy())
         own = copy.deepcopy(sent.value)
-        own.fit(code, n, min(MOST_PASSES, max(LEAST_PASSES, -(-SHARD_ROWS // len(code)))))
+        own.fit(code, n, min(MOST_PASSES, -(-SHARD_ROWS // len(code))))
         return pd.DataFrame(own.rows() | {"w": float(n.sum())})
 
     dealt = counts.select(F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), "code", "n")
