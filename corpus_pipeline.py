@@ -10,37 +10,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the whole row as _row: what a stage adds can't clash with any column of docs."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, changed: dict | None = None) -> DataFrame:
+    """The columns of docs from _row, some of them changed."""
+    return rows.select(*((changed or {}).get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among docs, doesn't call toxic."""
+    """Documents that the classifier, fitted on the labelled ones among docs, doesn't call toxic.
+
+    Null and empty texts get the score of no words; repeated rows fare alike. Without labels of both classes nothing is
+    called toxic unless most labels are. Columns of docs stay, whatever their names. No documents give none.
+    """
     from strandloom.llm.toxicity import fit_toxicity, score_toxicity
 
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return _unpacked(score_toxicity(_packed(docs), model).where("predicted = 0"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that later occurrences of a three-line window cover; n_chars follows the text."""
+    """All documents, without lines that later occurrences of a three-line window cover; n_chars follows the text.
+
+    Null texts stay null, and a text may end empty. Rows equal in id and text count as one and keep the same lines.
+    Columns of docs stay, whatever their names. No documents give none.
+    """
     from strandloom.llm.line_dedup import dedup_lines
 
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = dedup_lines(_packed(docs))
+    return _unpacked(rows, docs, {"text": F.col("text"), "n_chars": F.length("text").cast("long")})
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each class of texts linked at a Jaccard coefficient of 0.8 or more."""
+    """One document, that with the smallest id, of each class of texts linked at a Jaccard coefficient of 0.8 or more.
+
+    Texts without words, null ones too, are no copies and stay; of rows equal in id and text one stays. Columns of docs
+    stay, whatever their names. No documents give none.
+    """
     from strandloom.llm.jaccard_join import keep_one
 
-    return keep_one(docs)
+    return _unpacked(keep_one(_packed(docs)), docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which tiles cover less than 0.8 of every benchmark item."""
+    """Documents of which tiles cover less than 0.8 of every benchmark item.
+
+    Null and empty texts, and all where the benchmark is empty, stay; repeated rows fare alike. Columns of docs stay,
+    whatever their names. No documents give none.
+    """
     from strandloom.llm.decontaminate import find_leaks
 
-    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(*docs.columns)
+    return _unpacked(find_leaks(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token_ids, n_tokens, and whether the tokens decode to the text."""
+    """doc_id, token_ids, n_tokens, and whether the tokens decode to the text; a null text counts as empty, which has no tokens. A row for each row of docs."""
     import public_tokenizers
 
     from strandloom.llm.sentence_pieces import decode_pieces, encode_pieces
