@@ -27,9 +27,9 @@ def coalesce_ops(ops: Column | str) -> Column:
 
 
 def compress(chars: Column | str) -> Column:
-    """Array of (n, op) from a string with one letter for each column."""
-    one = F.filter(F.split(_col(chars), ""), lambda c: c != "")
-    return coalesce_ops(F.transform(one, lambda c: F.struct(F.lit(1).alias("n"), c.alias("op"))))
+    """Array of (n, op) from a string with one letter for each column: its runs, found in one pass."""
+    runs = F.regexp_extract_all(_col(chars), F.lit(r"(?s)((.)\2*)"), F.lit(1))
+    return F.transform(runs, lambda r: F.struct(F.length(r).cast("int").alias("n"), F.substring(r, 1, 1).alias("op")))
 
 
 def to_text(ops: Column | str) -> Column:
@@ -68,7 +68,7 @@ def reference_length(ops: Column | str) -> Column:
 def from_hmm_path(states: Column | str) -> Column:
     """State numbers to ops: 0 '=', 1 'I', 2 'D', others 'M'; merged."""
     letter = lambda s: F.when(s == 0, "=").when(s == 1, "I").when(s == 2, "D").otherwise("M")
-    return coalesce_ops(F.transform(_col(states), lambda s: F.struct(F.lit(1).alias("n"), letter(s).alias("op"))))
+    return compress(F.array_join(F.transform(_col(states), letter), ""))
 
 
 def position(ops: Column | str, at: Column | str, letters: str) -> Column:
@@ -89,10 +89,10 @@ def reference_position(ops: Column | str, at: Column | str) -> Column:
 def from_aligned(a: Column | str, b: Column | str, left: Column | None = None, right: Column | None = None) -> Column:
     """Ops of two gapped rows: = X I D, with S clips where lengths of clipped ends are given."""
     pair = F.zip_with(F.split(_col(a), ""), F.split(_col(b), ""), lambda x, y: F.when(x == "-", "D").when(y == "-", "I").when(x == y, "=").otherwise("X"))
-    ops = F.transform(F.filter(pair, lambda c: c != ""), lambda c: F.struct(F.lit(1).alias("n"), c.alias("op")))
-    clip = lambda n: F.array(F.struct(F.coalesce(n, F.lit(0)).cast("int").alias("n"), F.lit("S").alias("op")))
+    ops = compress(F.array_join(pair, ""))
+    clip = lambda n: F.filter(F.array(F.struct(n.cast("int").alias("n"), F.lit("S").alias("op"))), lambda x: F.coalesce(x["n"], F.lit(0)) > 0)
     zero = F.lit(0)
-    return coalesce_ops(F.concat(clip(left if left is not None else zero), ops, clip(right if right is not None else zero)))
+    return F.concat(clip(left if left is not None else zero), ops, clip(right if right is not None else zero))
 
 
 def identity(a: Column | str, b: Column | str) -> Column:
