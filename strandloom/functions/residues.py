@@ -60,8 +60,8 @@ def parse_error(text: Column | str) -> Column:
     return F.when(bare == "", "EmptySequence").when(parse_sequence(text).isNull(), "InvalidAminoAcid")
 
 
-def derived_sequence(text: Column | str, length: int) -> Column:
-    """The first `length` residues that the Latin letters of a text spell."""
+def derived_sequence(text: Column | str) -> Column:
+    """The residues that the Latin letters of a text spell."""
     text = F.col(text) if isinstance(text, str) else text
     letters = F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
-    return F.substring(F.regexp_replace(letters, "[JOUZ]", ""), 1, length)
+    return F.regexp_replace(letters, "[JOUZ]", "")

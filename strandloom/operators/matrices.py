@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,35 +12,36 @@ from strandloom.functions.residues import ALPHABET
 
 OUT_OF_RANGE = -100
 
-# BLOSUM62 over the twenty residues, lower triangle, in the published order; background frequencies of the
-# residues; where the rounded mean for B, Z and X isn't the published value, that value.
-ORDER = "ARNDCQEGHILKMFPSTWYV"
+# BLOSUM62 as published, in half bits; the matrix is symmetric, so each row ends at its own column.
+PUBLISHED_ORDER = "ARNDCQEGHILKMFPSTWYVBZX*"
 BLOSUM62 = """
-4
--1 5
--2 0 6
--2 -2 1 6
-0 -3 -3 -3 9
--1 1 0 0 -3 5
--1 0 0 2 -4 2 5
-0 -2 0 -1 -3 -2 -2 6
--2 0 1 -1 -3 0 0 -2 8
--1 -3 -3 -3 -1 -3 -3 -4 -3 4
--1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
--1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
--1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
--2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
--1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
-1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
-0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
--3 -3 -4 -4 -2 -2 -3 -4 -2 -3 -2 -3 -1 1 -4 -3 -2 11
--2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
-0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+A  4
+R -1  5
+N -2  0  6
+D -2 -2  1  6
+C  0 -3 -3 -3  9
+Q -1  1  0  0 -3  5
+E -1  0  0  2 -4  2  5
+G  0 -2  0 -1 -3 -2 -2  6
+H -2  0  1 -1 -3  0  0 -2  8
+I -1 -3 -3 -3 -1 -3 -3 -4 -3  4
+L -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
+K -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
+M -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
+F -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
+P -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7
+S  1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
+T  0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
+W -3 -3 -4 -4 -2 -2 -3 -4 -2 -3 -2 -3 -1  1 -4 -3 -2 11
+Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
+V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+B -2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4
+Z -1  0  0  1 -3  4  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  5
+X -1 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1
+* -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4  1
 """
+# Background frequencies of the residues.
 FREQUENCIES = {"A": 0.078, "R": 0.051, "N": 0.045, "D": 0.054, "C": 0.019, "Q": 0.043, "E": 0.063, "G": 0.074, "H": 0.022, "I": 0.051, "L": 0.091, "K": 0.057, "M": 0.022, "F": 0.039, "P": 0.052, "S": 0.071, "T": 0.058, "W": 0.013, "Y": 0.032, "V": 0.064}
-PUBLISHED = {"BK": 0, "BP": -2, "ZC": -3, "ZQ": 4, "XA": -1, "XF": -1, "XP": -2, "XT": 0, "BB": 4, "ZB": 1, "ZZ": 5, "XB": -1, "XZ": -1, "XX": -1}
-STOP, STOP_STOP = -4, 1
-PUBLISHED_ORDER = "ARNDCQEGHILKMFPSTWYVBZX*"
 
 
 @dataclass(frozen=True)
@@ -92,17 +92,32 @@ class Matrix:
 
 
 def blosum62() -> Matrix:
-    """The triangle mirrored; B, Z and X as the mean over the residues they stand for, by frequency, rounded, but for the values stated."""
-    tri = [list(map(int, line.split())) for line in BLOSUM62.split("\n") if line]
-    score = {a + b: tri[max(i, j)][min(i, j)] for i, a in enumerate(ORDER) for j, b in enumerate(ORDER)}
-    for code, of in (("B", "ND"), ("Z", "QE"), ("X", ORDER)):
-        for a in ORDER:
-            mean = sum(FREQUENCIES[x] * score[x + a] for x in of) / sum(FREQUENCIES[x] for x in of)
-            score[code + a] = score[a + code] = PUBLISHED.get(code + a, math.floor(mean + 0.5))
-    for pair, s in PUBLISHED.items():
-        score[pair] = score[pair[::-1]] = s
-    full = np.array([[STOP_STOP if a == b == "*" else STOP if "*" in (a, b) else score[a + b] for b in PUBLISHED_ORDER] for a in PUBLISHED_ORDER])
-    return Matrix("BLOSUM62", full.astype(np.int32))
+    """The published half, mirrored."""
+    half = np.zeros((24, 24), dtype=np.int32)
+    for i, line in enumerate(BLOSUM62.split("\n")[1:-1]):
+        half[i, : i + 1] = [int(x) for x in line.split()[1:]]
+    return Matrix("BLOSUM62", half + half.T - np.diag(np.diag(half)))
+
+
+def log_odds(name: str, target: np.ndarray, background: np.ndarray, scale: float = 2.0) -> Matrix:
+    """A matrix of a family from its target frequencies (20 x 20 in the published order, symmetric, summing to 1) and background: scale * log2 of their odds, rounded.
+
+    B, Z and X score as the pairs that they stand for do together; a stop scores 1 with itself and the least of all scores
+    with any residue.
+    """
+    stands = {c: [i] for i, c in enumerate(PUBLISHED_ORDER[:20])} | {"B": [2, 3], "Z": [5, 6], "X": list(range(20))}
+    codes = PUBLISHED_ORDER[:23]
+    odds = np.array([[target[np.ix_(stands[a], stands[b])].sum() / (background[stands[a]].sum() * background[stands[b]].sum()) for b in codes] for a in codes])
+    rows = np.ones((24, 24), dtype=np.int32)
+    rows[:23, :23] = np.rint(scale * np.log2(np.maximum(odds, 1e-9)))
+    rows[23, :23] = rows[:23, 23] = rows[:20, :20].min()
+    return Matrix(name, rows)
+
+
+def point_accepted(name: str, step: np.ndarray, background: np.ndarray, distance: int, scale: float = 2.0) -> Matrix:
+    """The matrix of a mutation family at a distance: the chance `step` (20 x 20, rows sum to 1) of each change over one unit, raised to `distance`, as log odds."""
+    joint = background[:, None] * np.linalg.matrix_power(step, distance)
+    return log_odds(name, (joint + joint.T) / 2, background, scale)
 
 
 def simple(match: int = 2, mismatch: int = -1) -> Matrix:

@@ -11,15 +11,26 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.residues import ALPHABETICAL
+from strandloom.functions.residues import ALPHABET, ALPHABETICAL
 from strandloom.operators.matrices import FREQUENCIES
+from strandloom.operators.pairwise import pairwise
 
 GAPS = ("-", ".")
 
 
+#: Rows of a table of columns and residues that is broadcast at most.
+MOST_BROADCAST = 500_000
+
+
 def columns(msa: DataFrame) -> DataFrame:
-    """(msa_id, seq_idx, pos, aa), pos from 0."""
-    return msa.select("msa_id", "seq_idx", F.posexplode(F.split("sequence", "")).alias("pos", "aa")).where(F.col("aa") != "")
+    """(msa_id, seq_idx, pos, aa) and what else msa holds, pos from 0."""
+    more = [c for c in msa.columns if c not in ("msa_id", "seq_idx", "sequence")]
+    return msa.select("msa_id", "seq_idx", *more, F.posexplode(F.split("sequence", "")).alias("pos", "aa")).where(F.col("aa") != "")
+
+
+def near(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A table with a row for each column and residue, to be broadcast if it has `most` rows or fewer, which is counted; its other side then stays where it is."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def sizes(msa: DataFrame) -> DataFrame:
@@ -54,20 +65,23 @@ def frequencies(msa: DataFrame) -> DataFrame:
 
 
 def henikoff_weights(msa: DataFrame) -> DataFrame:
-    """(msa_id, seq_idx, weight): sum over columns of 1 / (kinds of residue there x copies of the own one), gaps apart, scaled to a sum of n."""
+    """(msa_id, seq_idx, weight): sum over columns of 1 / (kinds of residue there x copies of the own one), gaps apart, scaled to a sum of n.
+
+    Residues of a sequence stand together, so their sums are combined before the shuffle, which then has a row for each.
+    """
     each = columns(msa).where(~F.col("aa").isin(*GAPS))
     known = counts(msa).where(~F.col("aa").isin(*GAPS))
     kinds = known.groupBy("msa_id", "pos").agg(F.count(F.lit(1)).alias("kinds"))
     share = known.join(kinds, ["msa_id", "pos"]).select("msa_id", "pos", "aa", (1.0 / (F.col("kinds") * F.col("c"))).alias("w"))
-    raw = each.join(share, ["msa_id", "pos", "aa"]).groupBy("msa_id", "seq_idx").agg(F.sum("w").alias("w"))
-    total = raw.groupBy("msa_id").agg(F.sum("w").alias("t"))
-    every = msa.select("msa_id", "seq_idx").join(raw, ["msa_id", "seq_idx"], "left").join(total, "msa_id", "left").join(sizes(msa).select("msa_id", "n"), "msa_id")
+    raw = each.join(near(share), ["msa_id", "pos", "aa"]).groupBy("msa_id", "seq_idx").agg(F.sum("w").alias("w"))
+    total = near(sizes(msa).select("msa_id", "n").join(raw.groupBy("msa_id").agg(F.sum("w").alias("t")), "msa_id", "left"))
+    every = msa.select("msa_id", "seq_idx").join(raw, ["msa_id", "seq_idx"], "left").join(total, "msa_id")
     return every.select("msa_id", "seq_idx", F.coalesce(F.col("w") * F.col("n") / F.col("t"), F.lit(1.0)).alias("weight"))
 
 
 def weighted_counts(msa: DataFrame, weights: DataFrame) -> DataFrame:
     """(msa_id, pos, aa, f) over the twenty residues, absent ones at 0."""
-    each = columns(msa).join(weights, ["msa_id", "seq_idx"]).where(F.instr(F.lit(ALPHABETICAL), F.col("aa")) > 0)
+    each = columns(msa.join(weights, ["msa_id", "seq_idx"])).where(F.instr(F.lit(ALPHABETICAL), F.col("aa")) > 0)
     found = each.groupBy("msa_id", "pos", "aa").agg(F.sum("weight").alias("f"))
     places = sizes(msa).select("msa_id", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("pos"))
     grid = places.withColumn("aa", F.explode(F.split(F.lit(ALPHABETICAL), ""))).where(F.col("aa") != "")
@@ -75,9 +89,9 @@ def weighted_counts(msa: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def log_odds(table: DataFrame, pseudo: float = 1.0, background: float = 0.05) -> DataFrame:
-    """table with pssm: log2 of the smoothed frequency (f + s b) / (total + s) over the background b."""
-    w = Window.partitionBy("msa_id", "pos")
-    share = (F.col("f") / F.sum("f").over(w) + pseudo * background) / (1 + pseudo)
+    """table with pssm: log2 of the smoothed share (f / total + s b) / (1 + s) over the background b; 0 in a column without residues."""
+    total = F.sum("f").over(Window.partitionBy("msa_id", "pos"))
+    share = (F.when(total > 0, F.try_divide("f", total)).otherwise(background) + pseudo * background) / (1 + pseudo)
     return table.withColumn("pssm", F.log2(share / background))
 
 
@@ -99,12 +113,12 @@ def natural_pssm(msa: DataFrame) -> DataFrame:
 def gap_penalties(msa: DataFrame) -> DataFrame:
     """(msa_id, pos, gap_open, gap_extend): opening costs 11 where nothing is conserved, and less by the square of the conservation."""
     c = F.col("conservation")
-    return conservation(msa).select("msa_id", "pos", (-11.0 * (1 - c * c)).alias("gap_open"), F.lit(-1.0).alias("gap_extend"))
+    return conservation(msa).select("msa_id", "pos", (-11.0 * (1 - c * c) + 0.0).alias("gap_open"), F.lit(-1.0).alias("gap_extend"))
 
 
 def wide_pssm(msa: DataFrame, weights: DataFrame, letters: int = 24) -> DataFrame:
     """(msa_id, pos, aa, p, pssm): p = (w + 1) / (W + letters), pssm = ln max(p letters, 0.001), for residues that a column holds."""
-    each = columns(msa).join(weights, ["msa_id", "seq_idx"]).groupBy("msa_id", "pos", "aa").agg(F.sum("weight").alias("w"))
+    each = columns(msa.join(weights, ["msa_id", "seq_idx"])).groupBy("msa_id", "pos", "aa").agg(F.sum("weight").alias("w"))
     total = each.groupBy("msa_id", "pos").agg(F.sum("w").alias("t"))
     p = (F.col("w") + 1) / (F.col("t") + letters)
     return each.join(total, ["msa_id", "pos"]).select("msa_id", "pos", "aa", p.alias("p"), F.log(F.greatest(p * letters, F.lit(0.001))).alias("pssm"))
@@ -122,7 +136,7 @@ def divergence(table: DataFrame, letters: int = 24) -> DataFrame:
 
 def score_profile(seqs: DataFrame, pssm: DataFrame, score: str = "pssm") -> DataFrame:
     """(msa_id, seq_idx, score): each sequence's sum of its residues' scores in its columns; what the profile lacks counts nothing."""
-    return columns(seqs).join(pssm.select("msa_id", "pos", "aa", F.col(score).alias("_s")), ["msa_id", "pos", "aa"], "left").groupBy("msa_id", "seq_idx").agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("score"))
+    return columns(seqs).join(near(pssm.select("msa_id", "pos", "aa", F.col(score).alias("_s"))), ["msa_id", "pos", "aa"], "left").groupBy("msa_id", "seq_idx").agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("score"))
 
 
 def gapped_columns(msa: DataFrame, share: float = 0.5) -> DataFrame:
@@ -130,18 +144,26 @@ def gapped_columns(msa: DataFrame, share: float = 0.5) -> DataFrame:
     return columns(msa).groupBy("msa_id", "pos").agg((F.avg(F.col("aa").isin(*GAPS).cast("int")) > share).alias("gapped"))
 
 
+def _vectors(profile: DataFrame, value: str, side: str) -> DataFrame:
+    """(side_id, side_pos, side_v): each column as an array of its residues' values in a fixed order, 0 for what it lacks."""
+    letters = F.filter(F.split(F.lit(ALPHABET), ""), lambda c: c != "")
+    column = profile.groupBy("msa_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("aa", F.col(value).cast("double")))).alias("m"))
+    return column.select(F.col("msa_id").alias(f"{side}_id"), F.col("pos").alias(f"{side}_pos"), F.transform(letters, lambda c: F.coalesce(F.col("m")[c], F.lit(0.0))).alias(f"{side}_v"))
+
+
+def _product() -> Column:
+    return F.aggregate(F.zip_with("a_v", "b_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("similarity")
+
+
 def profile_similarity(a: DataFrame, b: DataFrame, value: str = "pssm") -> DataFrame:
     """(a_pos, b_pos, similarity): sums of products over residues, of all columns of two profiles (one alignment's each)."""
-    left = a.select(F.col("pos").alias("a_pos"), "aa", F.col(value).alias("x"))
-    right = b.select(F.col("pos").alias("b_pos"), "aa", F.col(value).alias("y"))
-    return left.join(right, "aa").groupBy("a_pos", "b_pos").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
+    return _vectors(a, value, "a").crossJoin(near(_vectors(b, value, "b"))).select("a_pos", "b_pos", _product())
 
 
 def profile_similarities(profiles: DataFrame, value: str = "pssm") -> DataFrame:
     """(a_id, b_id, a_pos, b_pos, similarity), a_id < b_id: profile_similarity of every pair of alignments' profiles (msa_id, pos, aa)."""
-    left = profiles.select(F.col("msa_id").alias("a_id"), F.col("pos").alias("a_pos"), "aa", F.col(value).alias("x"))
-    right = profiles.select(F.col("msa_id").alias("b_id"), F.col("pos").alias("b_pos"), "aa", F.col(value).alias("y"))
-    return left.join(right, "aa").where("a_id < b_id").groupBy("a_id", "b_id", "a_pos", "b_pos").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
+    left, right = _vectors(profiles, value, "a"), near(_vectors(profiles, value, "b"))
+    return left.join(right, F.col("a_id") < F.col("b_id")).select("a_id", "b_id", "a_pos", "b_pos", _product())
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:
@@ -154,10 +176,8 @@ def hamming(a: Column | str, b: Column | str) -> Column:
 
 
 def distance_matrix(msa: DataFrame) -> DataFrame:
-    """(msa_id, i, j, distance), i < j: pairs within an alignment, which is what a distance matrix is."""
-    a = msa.select("msa_id", F.col("seq_idx").alias("i"), F.col("sequence").alias("a"))
-    b = msa.select("msa_id", F.col("seq_idx").alias("j"), F.col("sequence").alias("b"))
-    return a.join(b, "msa_id").where("i < j").select("msa_id", "i", "j", hamming("a", "b").alias("distance"))
+    """(msa_id, i, j, distance), i < j: share of differing places over the longer length, of all pairs within an alignment, which is what a distance matrix is."""
+    return pairwise(msa).select("msa_id", "i", "j", (F.col("differ") / F.greatest(F.col("width"), F.lit(1))).alias("distance"))
 
 
 def coverage(seqs: DataFrame) -> DataFrame:

@@ -8,13 +8,14 @@ from strandloom.functions import cigar
 from strandloom.operators.align import align_pairs, align_to_references, best_hits, filter_by_identity, filter_by_score, scheme, strategy
 from strandloom.operators.dp import NONE
 from strandloom.operators.matrices import GapPenalty, blosum62, simple
-from strandloom.plans.views import LENGTH, SEQS, dp_sql, ends_sql, msa, read, reference, seqs
+from strandloom.operators.batches import device_memory
+from strandloom.plans.views import LETTERS, SEQS, dp_rows, dp_sql, ends_sql, read, reference, references, seqs
 
-LEAST, BAND = 14, 8
+LEAST, BAND = 24, 8
 
 
 def _named(spark, d):
-    return seqs(spark, d).where(F.length("seq") > 0).select(F.col("doc_id"), F.col("seq").alias("sequence"))
+    return seqs(spark, d).select(F.col("doc_id"), F.col("seq").alias("sequence"))
 
 
 def _scores(local=True, **kw):
@@ -74,7 +75,7 @@ def nw_alignment_invariants(spark, d):
 
 
 def best_hit_per_query(spark, d):
-    refs = read(spark, d, "nation").select(F.col("n_name").alias("ref_name"), F.regexp_replace(F.upper(F.regexp_replace("n_name", "[^A-Za-z]", "")), "[JOUZ]", "").alias("ref_sequence")).where("ref_sequence <> ''")
+    refs = references(spark, d).drop("key")
     return best_hits(align_to_references(_named(spark, d), refs, trace=False), "doc_id").select("doc_id", "ref_name", "alignment.score")
 
 
@@ -85,12 +86,11 @@ def sw_filtered(spark, d):
 
 
 def _rows(spark, d):
-    """Two gapped rows from each full-length sequence: A as a gap on one side, E on the other."""
-    full = seqs(spark, d).where(F.length("seq") == LENGTH)
-    return full.select("doc_id", F.replace("seq", F.lit("A"), F.lit("-")).alias("a"), F.replace(F.replace("seq", F.lit("E"), F.lit("-")), F.lit("R"), F.lit("K")).alias("b"))
+    """Two gapped rows from each document: A as a gap on one side, E on the other."""
+    return seqs(spark, d).select("doc_id", F.replace("seq", F.lit("A"), F.lit("-")).alias("a"), F.replace(F.replace("seq", F.lit("E"), F.lit("-")), F.lit("R"), F.lit("K")).alias("b"))
 
 
-ROWS = f"{SEQS}, pairs AS (SELECT doc_id, replace(seq, 'A', '-') AS a, replace(replace(seq, 'E', '-'), 'R', 'K') AS b FROM seqs WHERE length(seq) = {LENGTH}), pl AS (SELECT *, unnest(range(1, {LENGTH + 1})) AS i FROM pairs)"
+ROWS = f"{LETTERS}, pl AS (SELECT doc_id, i, CASE aa WHEN 'A' THEN '-' ELSE aa END AS a, CASE aa WHEN 'E' THEN '-' WHEN 'R' THEN 'K' ELSE aa END AS b FROM letters)"
 
 
 def alignment_identity(spark, d):
@@ -107,12 +107,12 @@ def _runs(letter: str, source: str) -> str:
   SELECT doc_id, i, op, i - row_number() OVER (PARTITION BY doc_id, op ORDER BY i) AS g FROM (SELECT doc_id, i, {letter} AS op FROM {source})) GROUP BY doc_id, op, g) GROUP BY doc_id"""
 
 
-_OP = "CASE WHEN substr(a, i, 1) = '-' THEN 'D' WHEN substr(b, i, 1) = '-' THEN 'I' WHEN substr(a, i, 1) = substr(b, i, 1) THEN '=' ELSE 'X' END"
+_OP = "CASE WHEN a = '-' THEN 'D' WHEN b = '-' THEN 'I' WHEN a = b THEN '=' ELSE 'X' END"
 
 
 def cigar_compress(spark, d):
-    letters = F.translate(F.substring("seq", 1, 12), "ARNDCEQGHILKMFPSTWYVBX", "MMMMMMIIIIIIIIDDDDDDDD")
-    return seqs(spark, d).where(F.length("seq") == LENGTH).select("doc_id", cigar.to_text(cigar.compress(letters)).alias("cigar"))
+    letters = F.translate("seq", "ARNDCEQGHILKMFPSTWYVBX", "MMMMMMIIIIIIIIDDDDDDDD")
+    return seqs(spark, d).select("doc_id", cigar.to_text(cigar.compress(letters)).alias("cigar"))
 
 
 def _tokens(spark, d):
@@ -129,13 +129,13 @@ def cigar_lengths(spark, d):
 
 
 def cigar_from_hmm_path(spark, d):
-    states = F.transform(F.filter(F.split(F.substring("seq", 1, 16), ""), lambda c: c != ""), lambda c: (F.instr(F.lit("ARNDCEQGHILKMFPSTWYVBX"), c) % 4).cast("int"))
-    return seqs(spark, d).where(F.length("seq") == LENGTH).select("doc_id", cigar.to_text(cigar.from_hmm_path(states)).alias("cigar"))
+    states = F.transform(F.filter(F.split("seq", ""), lambda c: c != ""), lambda c: (F.instr(F.lit("ARNDCEQGHILKMFPSTWYVBX"), c) % 4).cast("int"))
+    return seqs(spark, d).select("doc_id", cigar.to_text(cigar.from_hmm_path(states)).alias("cigar"))
 
 
 def kernel_strategy(spark, d):
     o = read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 3000).alias("m"), (F.col("o_orderkey") % 3000).alias("n"), (F.col("o_totalprice") % 1).alias("like"))
-    memory = 4 * (F.col("m") + 1) * (F.col("n") + 1) + F.col("m") + F.col("n") + 2304 + (1 << 20)
+    memory = device_memory("m", "n")
     return o.select("o_orderkey", strategy("m", "n").alias("cpu"), strategy("m", "n", True, F.when(F.col("o_orderkey") % 2 == 0, F.col("like"))).alias("device"), memory.alias("bytes"), (memory < (16 << 20) / 2).alias("fits"))
 
 
@@ -162,7 +162,6 @@ QUERIES = {
     "cigar_from_hmm_path": cigar_from_hmm_path,
     "kernel_strategy": kernel_strategy,
 }
-_HITS = "SELECT doc_id, ref_name, seq AS q, s FROM seqs, (SELECT n_name AS ref_name, regexp_replace(upper(regexp_replace(n_name, '[^A-Za-z]', '', 'g')), '[JOUZ]', '', 'g') AS s FROM nation) WHERE seq <> '' AND s <> '' AND doc_id % 10 = 0"
 _banded_nw = dp_sql(False, -11, BAND)
 SQL = {
     "sw_top_hits": f"SELECT * FROM ({dp_sql(True)}) WHERE score >= {LEAST}",
@@ -173,15 +172,15 @@ SQL = {
     "nw_banded_score": f"SELECT doc_id, CASE WHEN score > {NONE // 2} THEN score END AS score FROM ({_banded_nw})",
     "sw_simple_score": dp_sql(True, gap=-2, simple=(2, -1)),
     "nw_simple_score": dp_sql(False, -2, gap=-2, simple=(2, -1)),
-    "sw_alignment_invariants": f"WITH {SEQS} SELECT doc_id, true AS query_spans, true AS subject_spans, true AS clips, true AS letters, true AS ops FROM seqs WHERE length(seq) > 0",
+    "sw_alignment_invariants": f"WITH {SEQS} SELECT doc_id, true AS query_spans, true AS subject_spans, true AS clips, true AS letters, true AS ops FROM seqs",
     "sw_end_positions": ends_sql(),
-    "nw_alignment_invariants": f"WITH {SEQS} SELECT doc_id, true AS whole_query, true AS whole_subject, true AS adds_up FROM seqs WHERE length(seq) > 0",
-    "best_hit_per_query": f"SELECT doc_id, ref_name, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ref_name) AS r FROM ({dp_sql(True, pairs=_HITS, keys='doc_id, ref_name')})) WHERE r = 1",
-    "alignment_identity": f"WITH {ROWS} SELECT doc_id, round(100.0 * sum((substr(a, i, 1) = substr(b, i, 1) AND substr(a, i, 1) <> '-')::INT) / nullif(sum((substr(a, i, 1) <> '-')::INT), 0), 6) AS identity, sum((substr(a, i, 1) = '-' OR substr(b, i, 1) = '-')::INT)::INT AS gaps FROM pl GROUP BY doc_id",
+    "nw_alignment_invariants": f"WITH {SEQS} SELECT doc_id, true AS whole_query, true AS whole_subject, true AS adds_up FROM seqs",
+    "best_hit_per_query": f"{dp_rows(True, of='')}, b AS (SELECT doc_id, ref_name, max(h)::INT AS score FROM r GROUP BY ALL) SELECT doc_id, ref_name, score FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ref_name) = 1",
+    "alignment_identity": f"WITH {ROWS} SELECT doc_id, coalesce(round(100.0 * sum((a = b AND a <> '-')::INT) / nullif(sum((a <> '-')::INT), 0), 6), 0) AS identity, sum((a = '-' OR b = '-')::INT)::INT AS gaps FROM pl GROUP BY doc_id",
     "generated_cigar": f"WITH {ROWS}, body AS ({_runs(_OP, 'pl')}) SELECT doc_id, '2S' || cigar || CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3)::VARCHAR || 'S' ELSE '' END AS cigar FROM body",
-    "cigar_compress": f"WITH {SEQS}, pl AS (SELECT doc_id, translate(substr(seq, 1, 12), 'ARNDCEQGHILKMFPSTWYVBX', 'MMMMMMIIIIIIIIDDDDDDDD') AS t, unnest(range(1, 13)) AS i FROM seqs WHERE length(seq) = {LENGTH}) {_runs('substr(t, i, 1)', 'pl')}",
+    "cigar_compress": f"WITH {LETTERS} {_runs("translate(aa, 'ARNDCEQGHILKMFPSTWYVBX', 'MMMMMMIIIIIIIIDDDDDDDD')", 'letters')}",
     "cigar_lengths": f"WITH {TOKENS} SELECT l_orderkey, l_linenumber, s || 'S' || m || 'M' || i || 'I' || d || 'D' || e || '=' AS cigar, (m + i + e)::INT AS query, (s + m + i + e)::INT AS clipped, (m + d + e)::INT AS reference, CASE WHEN s + m + i + e >= 40 THEN 40 END AS at_query, CASE WHEN m + d + e >= 40 THEN 40 END AS at_reference FROM c",
-    "cigar_from_hmm_path": f"WITH {SEQS}, pl AS (SELECT doc_id, seq, unnest(range(1, 17)) AS i FROM seqs WHERE length(seq) = {LENGTH}) {_runs("substr('=IDM', (instr('ARNDCEQGHILKMFPSTWYVBX', substr(seq, i, 1)) % 4 + 1)::INT, 1)", 'pl')}",
+    "cigar_from_hmm_path": f"WITH {LETTERS} {_runs("substr('=IDM', (instr('ARNDCEQGHILKMFPSTWYVBX', aa) % 4 + 1)::INT, 1)", 'letters')}",
     "kernel_strategy": """WITH o AS (SELECT o_orderkey, o_custkey % 3000 AS m, o_orderkey % 3000 AS n, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice % 1 END AS alike FROM orders), c AS (SELECT *, m * n AS cells, 4 * (m + 1) * (n + 1) + m + n + 2304 + 1048576 AS bytes FROM o)
 SELECT o_orderkey, CASE WHEN cells < 1048576 THEN 'Simd' ELSE 'Banded' END AS cpu, CASE WHEN cells <= 1024 THEN 'Scalar' WHEN cells > 1048576 THEN 'GpuTiled' WHEN alike > 0.7 THEN 'Banded' ELSE 'GpuFull' END AS device, bytes, bytes < 8388608 AS fits FROM c""",
 }

@@ -6,12 +6,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from strandloom.sources import models, text
-from strandloom.plans.views import LENGTH, SEQS, read, seqs
+from strandloom.plans.views import SEQS, read, seqs
 
 
 def fasta_lines(spark, d):
-    rows = seqs(spark, d, 200)
-    return rows.where("seq <> ''").select("doc_id", text.fasta_text(F.concat_ws(" ", F.concat(F.lit("doc"), F.col("doc_id").cast("string")), "lang"), "seq").alias("record"))
+    rows = seqs(spark, d)
+    return rows.select("doc_id", text.fasta_text(F.concat_ws(" ", F.concat(F.lit("doc"), F.col("doc_id").cast("string")), "lang"), "seq").alias("record"))
 
 
 def fasta_round_trip(spark, d):
@@ -20,7 +20,7 @@ def fasta_round_trip(spark, d):
 
 
 def fastq_lines(spark, d):
-    rows = seqs(spark, d).where("seq <> ''")
+    rows = seqs(spark, d)
     return rows.select("doc_id", text.fastq_text(F.col("doc_id").cast("string"), "seq", F.when(F.col("doc_id") % 7 != 0, F.repeat(F.lit("I"), F.length("seq")))).alias("record"), text.tsv_text("doc_id", "seq", "lang").alias("line"))
 
 
@@ -56,8 +56,8 @@ def gff3_lines(spark, d):
 
 
 def sam_lines(spark, d):
-    rows = seqs(spark, d).where(F.length("seq") == LENGTH)
-    return rows.select("doc_id", text.sam_line(F.concat(F.lit("read"), F.col("doc_id").cast("string")), F.lit("ref"), F.col("doc_id") % 1000, F.lit("24="), F.replace("seq", F.lit("A"), F.lit("A-")), F.length("seq")).alias("line"))
+    rows = seqs(spark, d)
+    return rows.select("doc_id", text.sam_line(F.concat(F.lit("read"), F.col("doc_id").cast("string")), F.lit("ref"), F.col("doc_id") % 1000, F.concat(F.length("seq").cast("string"), F.lit("=")), F.replace("seq", F.lit("A"), F.lit("A-")), F.length("seq")).alias("line"))
 
 
 def format_names(spark, d):
@@ -90,8 +90,8 @@ def bam_round_trip(spark, d):
     """Records packed into bytes and read back."""
     from strandloom.sources.bam import pack, packed_records, unpack
 
-    s = seqs(spark, d).where(F.length("seq") == LENGTH)
-    rows = s.select("doc_id", F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("name"), F.lit(0).alias("flag"), F.lit(0).alias("ref_id"), (F.col("doc_id") % 1000).cast("int").alias("pos"), F.lit(60).alias("mapq"), F.lit("20M4S").alias("cigar"), F.translate("seq", "ARNDCEQGHILKMFPSTWYVBX", "ACGTACGTACGTACGTACGTNN").alias("sequence"), F.repeat(F.lit("I"), F.length("seq")).alias("quality"))
+    s = seqs(spark, d)
+    rows = s.select("doc_id", F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("name"), F.lit(0).alias("flag"), F.lit(0).alias("ref_id"), (F.col("doc_id") % 1000).cast("int").alias("pos"), F.lit(60).alias("mapq"), F.concat(F.lit("2S"), (F.length("seq") + 1).cast("string"), F.lit("M")).alias("cigar"), F.translate("seq", "ARNDCEQGHILKMFPSTWYVBX", "ACGTACGTACGTACGTACGTNN").alias("sequence"), F.repeat(F.lit("I"), F.length("seq")).alias("quality"))
 
     @F.pandas_udf("name string, pos int, cigar string, sequence string, quality string")
     def back(p: pd.Series) -> pd.DataFrame:
@@ -124,29 +124,28 @@ def model_lookup(spark, d):
 def interchange_round_trip(spark, d):
     from strandloom.operators.interchange import protein_record, protein_sequence
 
-    rows = seqs(spark, d).where(F.length("seq") == LENGTH)
+    rows = seqs(spark, d)
     return protein_sequence(protein_record(rows, "doc_id", "seq")).select(F.col("id").cast("long").alias("doc_id"), "sequence", "error")
 
 
 QUERIES = {f.__name__: f for f in (fasta_lines, fasta_round_trip, fastq_lines, blast_tabular_lines, blast_json_fields, blast_xml_fields, gff3_lines, sam_lines, format_names, model_headers, model_fields, model_lookup, interchange_round_trip, model_formats, score_tokens, bam_round_trip)}
-_S200 = SEQS.replace(f", 1, {LENGTH})", ", 1, 200)")
 _E = "CASE l_linenumber WHEN 1 THEN '0e0' WHEN 2 THEN '4e1' WHEN 3 THEN '8e1' WHEN 4 THEN '1.6e2' WHEN 5 THEN '3.2e2' WHEN 6 THEN '6.4e2' ELSE '1.28e3' END"
 _Q = "CAST(l_quantity AS INT)"
 SQL = {
-    "fasta_lines": f"WITH {_S200} SELECT doc_id, '>doc' || doc_id || ' ' || lang || chr(10) || rtrim(substr(seq, 1, 70) || chr(10) || substr(seq, 71, 70) || chr(10) || substr(seq, 141, 60), chr(10)) AS record FROM seqs WHERE seq <> ''",
-    "fasta_round_trip": f"WITH {_S200} SELECT 'doc' || doc_id AS id, lang AS description, seq AS sequence FROM seqs WHERE seq <> ''",
-    "fastq_lines": f"WITH {SEQS} SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN '@' || doc_id || chr(10) || seq || chr(10) || '+' || chr(10) || repeat('I', length(seq)) END AS record, doc_id || chr(9) || seq || chr(9) || lang AS line FROM seqs WHERE seq <> ''",
+    "fasta_lines": f"WITH {SEQS} SELECT doc_id, '>doc' || doc_id || ' ' || lang || chr(10) || rtrim(regexp_replace(seq, '(.{{70}})', '\\1' || chr(10), 'g'), chr(10)) AS record FROM seqs",
+    "fasta_round_trip": f"WITH {SEQS} SELECT 'doc' || doc_id AS id, lang AS description, seq AS sequence FROM seqs",
+    "fastq_lines": f"WITH {SEQS} SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN '@' || doc_id || chr(10) || seq || chr(10) || '+' || chr(10) || repeat('I', length(seq)) END AS record, doc_id || chr(9) || seq || chr(9) || lang AS line FROM seqs",
     "blast_tabular_lines": f"SELECT l_orderkey, l_linenumber, concat_ws(chr(9), 'q' || l_partkey, 's' || l_suppkey, printf('%.1f', (100 - l_linenumber * 1.5)::DOUBLE), {_Q}, l_linenumber, 0, 1, {_Q}, l_linenumber, CAST(l_linenumber + l_quantity AS INT), {_E}, printf('%.1f', l_quantity / 2)) AS line FROM lineitem",
     "blast_json_fields": f"SELECT l_orderkey, l_linenumber, 'q' || l_partkey AS q, CAST(l_quantity * 10 AS INT) AS score, CAST(l_linenumber + l_quantity AS INT) AS subject_end, 0 AS gap_opens FROM lineitem",
     "blast_xml_fields": "SELECT l_orderkey, l_linenumber, 's' || l_suppkey AS hit, CAST(l_quantity * 10 AS INT)::VARCHAR AS score, '2.5e-7' AS evalue FROM lineitem",
     "gff3_lines": "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey <= l_partkey THEN concat_ws(chr(9), 'chr' || l_linenumber, 'alignment', 'match', l_suppkey, l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN printf('%.1f', l_quantity) ELSE '.' END, CASE WHEN l_linenumber = 1 THEN '+' ELSE '.' END, '.', CASE WHEN l_linenumber > 2 THEN 'ID=' || l_orderkey || ';line=' || l_linenumber ELSE '.' END) END AS line FROM lineitem",
-    "sam_lines": f"WITH {SEQS} SELECT doc_id, concat_ws(chr(9), 'read' || doc_id, '0', 'ref', doc_id % 1000 + 1, '60', '24=', '*', '0', '0', seq, '*', 'AS:i:' || length(seq)) AS line FROM seqs WHERE length(seq) = {LENGTH}",
+    "sam_lines": f"WITH {SEQS} SELECT doc_id, concat_ws(chr(9), 'read' || doc_id, '0', 'ref', doc_id % 1000 + 1, '60', length(seq) || '=', '*', '0', '0', seq, '*', 'AS:i:' || length(seq)) AS line FROM seqs",
     "format_names": "SELECT page_id, ['fasta', 'fastq', 'fastq', 'tsv', 'tsv', 'fasta', 'fasta', 'fasta'][page_id % 8 + 1] AS format FROM pages",
     "model_headers": "SELECT 'fam' || p_partkey AS name, 'PF' || p_partkey || '.1' AS accession, p_name AS description, p_size AS length, 'amino' AS alphabet, CASE WHEN p_partkey % 2 = 0 THEN p_size + 0.5::DOUBLE END AS ga, NULL::DOUBLE AS tc FROM part",
     "model_fields": "SELECT p_partkey, ['HMMER3', 'STOCKHOLM', 'HMMSEARCH', 'INTERPRO'][p_partkey % 4 + 1] AS format, CASE WHEN p_partkey % 4 = 3 THEN 'IPR' || lpad(p_partkey::VARCHAR, 6, '0') ELSE 'fam' || p_partkey END AS name, 'PF' || p_partkey AS accession, CASE WHEN p_partkey % 4 <> 3 THEN p_size END AS length FROM part",
     "model_lookup": "SELECT 'fam' || p_partkey AS name, p_size AS length FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)",
-    "interchange_round_trip": f"WITH {SEQS} SELECT doc_id, seq AS sequence, NULL::VARCHAR AS error FROM seqs WHERE length(seq) = {LENGTH}",
+    "interchange_round_trip": f"WITH {SEQS} SELECT doc_id, seq AS sequence, NULL::VARCHAR AS error FROM seqs",
     "model_formats": "SELECT p_partkey, ['HMMER3', 'STOCKHOLM', 'HMMSEARCH', 'INTERPRO', NULL][p_partkey % 5 + 1] AS format FROM part",
     "score_tokens": "WITH r AS (SELECT *, (l_orderkey + l_linenumber) % 7 AS k FROM lineitem) SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN -1e308 WHEN 1 THEN -1e308 WHEN 2 THEN round(-l_partkey / 1000.0, 6) WHEN 3 THEN round(ln((l_quantity / 100) / (1 - l_quantity / 100)), 6) WHEN 4 THEN round(CASE WHEN l_partkey + 1000 > 1000 THEN -(l_partkey + 1000) / 1000.0 ELSE -1000 END, 6) WHEN 5 THEN l_quantity END AS score FROM r",
-    "bam_round_trip": f"WITH {SEQS} SELECT doc_id, 'r' || doc_id AS name, (doc_id % 1000)::INT AS pos, '20M4S' AS cigar, translate(seq, 'ARNDCEQGHILKMFPSTWYVBX', 'ACGTACGTACGTACGTACGTNN') AS sequence, repeat('I', length(seq)) AS quality FROM seqs WHERE length(seq) = {LENGTH}",
+    "bam_round_trip": f"WITH {SEQS} SELECT doc_id, 'r' || doc_id AS name, (doc_id % 1000)::INT AS pos, '2S' || (length(seq) + 1) || 'M' AS cigar, translate(seq, 'ARNDCEQGHILKMFPSTWYVBX', 'ACGTACGTACGTACGTACGTNN') AS sequence, repeat('I', length(seq)) AS quality FROM seqs",
 }

@@ -8,9 +8,11 @@ from strandloom.functions import residues as rs
 from strandloom.functions import statistics as st
 from strandloom.operators import batches
 from strandloom.operators.matrices import blosum62, validate
-from strandloom.plans.views import LENGTH, SCORES, SEQS, cell, read, seqs
+from strandloom.plans.views import LETTERS, SCORES, SEQS, cell, read, seqs
 
 _ALPHA = rs.ALPHABET
+#: Residues that a read has at least.
+LEAST_LENGTH = 24
 
 
 def residue_histogram(spark, d):
@@ -36,8 +38,10 @@ def matrix_checks(spark, d):
 
 
 def pair_scores(spark, d):
-    """Ungapped score of each sequence and its reverse: a join with the matrix, which has 576 rows."""
-    at = seqs(spark, d).select("doc_id", F.posexplode(F.split("seq", "")).alias("i", "aa1"), F.reverse("seq").alias("r")).where("aa1 <> ''").withColumn("aa2", F.substring(F.col("r"), F.col("i") + 1, F.lit(1)))
+    """Ungapped score of each sequence and its reverse: a join with the matrix, which has 576 rows. Rows of a document stand together, so sums are combined before the shuffle."""
+    one = F.filter(F.split("seq", ""), lambda c: c != "")
+    pairs = F.zip_with(one, F.reverse(one), lambda x, y: F.struct(x.alias("aa1"), y.alias("aa2")))
+    at = seqs(spark, d).select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*")
     return at.join(F.broadcast(blosum62().frame(spark).select("aa1", "aa2", "score")), ["aa1", "aa2"]).groupBy("doc_id").agg(F.sum("score").alias("score"))
 
 
@@ -69,13 +73,13 @@ def tiles(spark, d):
 
 def chunked_reads(spark, d):
     """Sequences of a least length in chunks of a fixed size, in order."""
-    return batches.chunks(seqs(spark, d).where(F.length("seq") >= LENGTH), "doc_id", 64).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return batches.chunks(seqs(spark, d).where(F.length("seq") >= LEAST_LENGTH), "doc_id", 64).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
 def interchange_records(spark, d):
     from strandloom.operators.interchange import dna_record, protein_record
 
-    rows = seqs(spark, d).where(F.length("seq") == LENGTH)
+    rows = seqs(spark, d)
     p = protein_record(rows, "doc_id", "seq").select(F.col("id").cast("long").alias("doc_id"), F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"), F.col("metadata")["database"].alias("db"), F.col("metadata")["taxon"].alias("taxon"))
     n = dna_record(rows, "doc_id", "seq").select(F.col("id").cast("long").alias("doc_id"), F.array_join(F.transform("codes", lambda c: c.cast("string")), "").alias("dna"))
     return p.join(n, "doc_id")
@@ -88,15 +92,15 @@ _IDX = lambda a, miss="NULL": f"(CASE WHEN instr('{a}', aa) > 0 THEN instr('{a}'
 _LONG = "[" + ", ".join(f"'{x}'" for x in rs.THREE_LETTER) + "]"
 _RAW = "raw AS (SELECT n_nationkey, n_name AS s FROM nation UNION ALL SELECT r_regionkey + 100, ' ' || r_name || chr(9) FROM region), p AS (SELECT n_nationkey, upper(regexp_replace(s, '\\s', '', 'g')) AS u FROM raw), v AS (SELECT *, regexp_matches(u, '^[ARNDCEQGHILKMFPSTWYVBX*\\-]+$') AS ok FROM p)"
 SQL = {
-    "residue_histogram": f"WITH {SEQS}, a AS (SELECT lang, unnest(string_split(seq, '')) AS aa FROM seqs WHERE seq <> '') SELECT lang, aa, count(*) AS n, {_IDX(_ALPHA)} AS idx, {_IDX(rs.BRIDGE_ALPHABET)} AS bridge, {_IDX(rs.ALPHABETICAL, '20')} AS parsimony, {_IDX(rs.NUCLEOTIDES, '4')} AS nucleotide, aa AS back, {_LONG}[{_IDX(rs.BRIDGE_ALPHABET)} + 1] AS long_name FROM a WHERE aa <> '' GROUP BY lang, aa",
+    "residue_histogram": f"WITH {LETTERS} SELECT lang, aa, count(*) AS n, {_IDX(_ALPHA)} AS idx, {_IDX(rs.BRIDGE_ALPHABET)} AS bridge, {_IDX(rs.ALPHABETICAL, '20')} AS parsimony, {_IDX(rs.NUCLEOTIDES, '4')} AS nucleotide, aa AS back, {_LONG}[{_IDX(rs.BRIDGE_ALPHABET)} + 1] AS long_name FROM letters GROUP BY lang, aa",
     "parsed_sequences": f"WITH {_RAW} SELECT n_nationkey, CASE WHEN ok THEN u END AS sequence, CASE WHEN u = '' THEN 'EmptySequence' WHEN NOT ok THEN 'InvalidAminoAcid' END AS error, CASE WHEN ok THEN length(u) END::INT AS size FROM v",
     "matrix_cells": f"WITH k AS (SELECT {SCORES} AS m), i AS (SELECT unnest(range(1, 25)) AS i), j AS (SELECT unnest(range(1, 25)) AS j) SELECT substr('{_ALPHA}', i, 1) AS aa1, substr('{_ALPHA}', j, 1) AS aa2, m[(i - 1) * 24 + j]::INT AS score FROM k, i, j",
     "matrix_checks": f"WITH k AS (SELECT unnest({SCORES}) AS s) SELECT 'BLOSUM62' AS matrix, count(*) AS cells, true AS symmetric, min(s)::INT AS low, max(s)::INT AS high, true AS scaled FROM k",
-    "pair_scores": f"WITH {SEQS}, a AS (SELECT doc_id, {SCORES} AS m, substr(seq, i, 1) AS x, substr(reverse(seq), i, 1) AS y FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM seqs)) SELECT doc_id, sum({cell('x', 'y')})::BIGINT AS score FROM a GROUP BY 1",
+    "pair_scores": f"WITH {LETTERS}, n AS (SELECT doc_id, i, aa, count(*) OVER (PARTITION BY doc_id) AS m FROM letters) SELECT a.doc_id, sum({cell('a.aa', 'b.aa')})::BIGINT AS score FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.i = a.m + 1 - a.i GROUP BY 1",
     "score_statistics": f"WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity AS s, ({_L} * l_quantity + {-_LOG_K}) / ln(2) AS bits FROM lineitem) SELECT l_orderkey, l_linenumber, round(bits, 6) AS bits, round({_E.format(n='1e6')}, 6) AS log_e, round({_E.format(n='6e9')}, 6) AS log_e_profile, round(log10(0.135 * 1e6 * exp(-s)), 6) AS log_e_pfam, round((0.318 * s - ln(35)) / ln(2), 6) AS pfam_bits, round(log10(exp(-0.318 * s)), 6) AS log_p, round((1.37 * s - ln(38.7)) / ln(2), 6) AS nt_bits, l_linenumber <= 3 OR s >= 25 AS passes FROM s",
     "node_stats": "WITH t AS (SELECT o_custkey % 16 AS node, CASE WHEN o_custkey % 16 = 3 THEN 'Offline' WHEN o_orderstatus = 'O' THEN 'Busy' ELSE 'Idle' END AS status, o_totalprice / 1000 AS ms FROM orders) SELECT node, count(*) AS tasks, bool_or(status <> 'Offline') AS online, sum((status = 'Busy')::INT)::BIGINT AS pending, round(avg(ms), 6) AS mean_ms FROM t GROUP BY 1",
-    "contiguous_batches": "WITH r AS (SELECT o_orderkey AS task, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders WHERE o_custkey <= 100) SELECT task, (r // ((n + 6) // 7))::BIGINT AS batch, (r % 4)::BIGINT AS device FROM r",
-    "tiles": "WITH p AS (SELECT p_partkey, p_size * 5 AS m, p_partkey % 97 + 1 AS n FROM part WHERE p_partkey <= 200), r AS (SELECT *, unnest(range(0, ((m + 31) // 32)::BIGINT)) AS tile_row FROM p), c AS (SELECT *, unnest(range(0, ((n + 31) // 32)::BIGINT)) AS tile_col FROM r) SELECT p_partkey, tile_row::INT AS tile_row, tile_col::INT AS tile_col, (tile_row * ((n + 31) // 32) + tile_col)::INT AS raster, least(32, m - tile_row * 32)::INT AS height, least(32, n - tile_col * 32)::INT AS width FROM c",
-    "chunked_reads": f"WITH {SEQS}, r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM seqs WHERE length(seq) >= {LENGTH}) SELECT (r // 64)::BIGINT AS chunk, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM r GROUP BY 1",
-    "interchange_records": f"WITH {SEQS}, a AS (SELECT doc_id, i, instr('{rs.BRIDGE_ALPHABET}', substr(seq, i, 1)) - 1 AS c, CASE WHEN instr('ACGT', substr(seq, i, 1)) > 0 THEN instr('ACGT', substr(seq, i, 1)) - 1 ELSE 4 END AS n FROM (SELECT *, unnest(range(1, {LENGTH + 1})) AS i FROM seqs WHERE length(seq) = {LENGTH})) SELECT doc_id, string_agg(c::VARCHAR, ',' ORDER BY i) AS codes, 'Ensembl' AS db, '9606' AS taxon, string_agg(n::VARCHAR, '' ORDER BY i) AS dna FROM a GROUP BY 1",
+    "contiguous_batches": "WITH r AS (SELECT o_orderkey AS task, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) SELECT task, (r // ((n + 6) // 7))::BIGINT AS batch, (r % 4)::BIGINT AS device FROM r",
+    "tiles": "WITH p AS (SELECT p_partkey, p_size * 5 AS m, p_partkey % 97 + 1 AS n FROM part), r AS (SELECT *, unnest(range(0, ((m + 31) // 32)::BIGINT)) AS tile_row FROM p), c AS (SELECT *, unnest(range(0, ((n + 31) // 32)::BIGINT)) AS tile_col FROM r) SELECT p_partkey, tile_row::INT AS tile_row, tile_col::INT AS tile_col, (tile_row * ((n + 31) // 32) + tile_col)::INT AS raster, least(32, m - tile_row * 32)::INT AS height, least(32, n - tile_col * 32)::INT AS width FROM c",
+    "chunked_reads": f"WITH {SEQS}, r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM seqs WHERE length(seq) >= {LEAST_LENGTH}) SELECT (r // 64)::BIGINT AS chunk, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM r GROUP BY 1",
+    "interchange_records": f"WITH {LETTERS}, a AS (SELECT doc_id, i, instr('{rs.BRIDGE_ALPHABET}', aa) - 1 AS c, CASE WHEN instr('ACGT', aa) > 0 THEN instr('ACGT', aa) - 1 ELSE 4 END AS n FROM letters) SELECT doc_id, string_agg(c::VARCHAR, ',' ORDER BY i) AS codes, 'Ensembl' AS db, '9606' AS taxon, string_agg(n::VARCHAR, '' ORDER BY i) AS dna FROM a GROUP BY 1",
 }

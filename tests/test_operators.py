@@ -155,7 +155,7 @@ def test_models(spark, msa):
     assert hmm.states(msa).first()["n_states"] == 23
     score, path = hmm.viterbi(model, "MVLSPAD")
     assert path == "MMMMMMM" and hmm.forward(model, "MVLSPAD") >= score
-    b = hmm.backward_rows(model, hmm.encode("MVLSPAD"))[0][0, 0]
+    b = hmm.backward_rows(model, hmm.encode("MVLSPAD")[None, :])[0][0][0, 0]
     assert b == pytest.approx(hmm.forward(model, "MVLSPAD"))
     assert np.all(hmm.posteriors(model, "MVLSPAD").sum(1) <= 1 + 1e-9)
     _, seen = hmm.baum_welch(model, ROWS, rounds=4, pseudo=1e-9)

@@ -1,129 +1,279 @@
-"""Registered queries cover their whole tables; where their SQL covers a part, they equal it there."""
+"""Queries without SQL, and the operators behind them, against slow versions of themselves."""
 
+import itertools
+import math
 import os
+import random
 
-import duckdb
+import numpy as np
 import pytest
 
-from strandloom.operators import dp
-from strandloom.operators.align import scheme
-from strandloom.plans import registry
+from strandloom.functions.residues import ALPHABET
+from strandloom.operators import hmm, pairwise, trees
+from strandloom.operators.matrices import PUBLISHED_ORDER, blosum62, log_odds, point_accepted
+from strandloom.plans import registry, views
 
-SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
+SMALL = "/root/testdata/sf0.001"
+data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
+SCORES = blosum62().lookup().tolist()
 
 
-def views(folder):
-    con = duckdb.connect()
-    for f in os.listdir(folder):
-        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{folder}/{f}'")
-    return con
+def slow_alignment(q, s, local):
+    """The whole matrix, cell by cell, and the way back: diagonal before the query's residue before the subject's."""
+    h = [[0 if local else -(i + j) for j in range(len(s) + 1)] for i in range(len(q) + 1)]
+    for i, j in itertools.product(range(1, len(q) + 1), range(1, len(s) + 1)):
+        h[i][j] = max(h[i - 1][j - 1] + SCORES[ALPHABET.index(q[i - 1])][ALPHABET.index(s[j - 1])], h[i - 1][j] - 1, h[i][j - 1] - 1, *([0] if local else []))
+    i, j = len(q), len(s)
+    if local:
+        _, j, i = min((-h[i][j], j, i) for i in range(len(q) + 1) for j in range(len(s) + 1))
+    end, ops = (i, j), []
+    while (h[i][j] > 0 and i and j) if local else (i or j):
+        if i and j and h[i][j] == h[i - 1][j - 1] + SCORES[ALPHABET.index(q[i - 1])][ALPHABET.index(s[j - 1])]:
+            ops.append("=" if q[i - 1] == s[j - 1] else "X")
+            i, j = i - 1, j - 1
+        elif j == 0 or (i and h[i][j] == h[i - 1][j] - 1):
+            ops.append("I")
+            i -= 1
+        else:
+            ops.append("D")
+            j -= 1
+    return h[end[0]][end[1]], i, end[0], j, end[1], "".join(f"{len(list(g))}{c}" for c, g in itertools.groupby(reversed(ops)))
 
 
-@pytest.fixture(scope="module")
-def con():
-    return views(SMALL)
+@data
+def test_alignments_equal_the_slow_ones(spark):
+    ref = views.reference(spark, SMALL).first()["ref_sequence"]
+    texts = {r["doc_id"]: r["seq"] for r in views.seqs(spark, SMALL).collect()}
+    kept = {r["doc_id"] for r in registry.QUERIES["sw_filtered"](spark, SMALL).collect()}
+    for name, local in (("sw_alignments", True), ("nw_alignments", False)):
+        got = {r["doc_id"]: r for r in registry.QUERIES[name](spark, SMALL).collect()}
+        assert got.keys() == texts.keys()
+        for i, q in texts.items():
+            if len(q) > 1500:
+                continue
+            want, r = slow_alignment(q, ref, local), got[i]
+            assert (r["score"], r["q_start"], r["q_end"], r["s_start"], r["s_end"], r["cigar"]) == want
+            if local:
+                columns = sum(int(n) for n, _ in _ops(want[5]))
+                inserted = sum(int(n) for n, c in _ops(want[5]) if c == "D")
+                same = sum(int(n) for n, c in _ops(want[5]) if c == "=")
+                assert (i in kept) == (want[0] >= 24 and 100.0 * same / max(1, columns - inserted) >= 60)
 
 
-@pytest.fixture(scope="module")
-def more():
-    return views(MORE)
+def _ops(text):
+    import re
 
+    return re.findall(r"(\d+)(\D)", text)
 
-def rows_of(spark, name, columns, folder=SMALL):
-    return [tuple(r[c] for c in columns) for r in registry.QUERIES[name](spark, folder).collect()]
 
+def test_published_scores():
+    m = blosum62().rows
+    assert (m == m.T).all() and np.diag(m)[:20].tolist() == [4, 5, 6, 6, 9, 5, 5, 6, 8, 4, 4, 5, 5, 6, 7, 4, 5, 11, 7, 4]
+    at = lambda a, b: int(m[PUBLISHED_ORDER.index(a), PUBLISHED_ORDER.index(b)])
+    known = {"WY": 2, "IV": 3, "KR": 2, "DE": 2, "CW": -2, "GI": -4, "FY": 3, "ST": 1, "LM": 2, "PF": -4, "BD": 4, "ZE": 4, "*A": -4, "**": 1}
+    assert {p: at(*p) for p in known} == known
 
-def sql_rows(con, name, columns):
-    return con.execute(f"SELECT {', '.join(columns)} FROM ({registry.SQL[name]})").fetchall()
 
+def test_matrices_from_a_rule():
+    p = np.full(20, 0.05)
+    step = np.full((20, 20), 0.01 / 19)
+    np.fill_diagonal(step, 0.99)
+    near, far = point_accepted("a", step, p, 10).rows, point_accepted("a", step, p, 200).rows
+    assert (near == near.T).all() and near[0, 0] > far[0, 0] > 0 >= far[0, 1] > near[0, 1]
+    even = log_odds("e", np.outer(p, p), p).rows
+    assert (even[:23, :23] == 0).all() and even[23, 23] == 1
 
-def test_every_document_has_a_best_hit(spark, con):
-    from strandloom.plans.views import seqs
 
-    got = rows_of(spark, "best_hit_per_query", ["doc_id", "ref_name", "score"])
-    spelt = lambda s: "".join(c for c in s.upper() if c.isascii() and c.isalpha() and c not in "JOUZ")
-    refs = [(n, spelt(n)) for (n,) in con.execute("SELECT n_name FROM nation").fetchall() if spelt(n)]
-    want = []
-    for r in seqs(spark, SMALL).where("seq <> ''").collect():
-        scores = dp.align([r["seq"]] * len(refs), [s for _, s in refs], scheme(), True, False)["score"]
-        best = min(zip([-x for x in scores], [n for n, _ in refs]))
-        want.append((r["doc_id"], best[1], -best[0]))
-    assert sorted(got) == sorted(want)
-    some = ["doc_id", "ref_name", "score"]
-    assert sorted(r for r in got if r[0] % 10 == 0) == sorted(sql_rows(con, "best_hit_per_query", some))
+def random_model(rng, size, gaps=False):
+    norm = lambda x: np.log(x / x.sum(-1, keepdims=True))
+    moves = rng.random((size + 1, 7)) + 0.1
+    moves = np.concatenate([norm(moves[:, :3]), norm(moves[:, 3:5]), norm(moves[:, 5:])], axis=1)
+    if gaps:
+        moves[0, 6] = moves[1, 6] = -np.inf
+    return hmm.Model(norm(rng.random((size, 24))), norm(rng.random((size + 1, 24))), moves)
 
 
-@pytest.mark.parametrize(
-    ("name", "columns", "part"),
-    [
-        ("tiles", ["p_partkey", "tile_row", "tile_col", "raster", "height", "width"], lambda r: r[0] <= 200),
-        ("tree_statistics", ["tree_id", "taxa", "internals", "mean_branch", "longest_pair"], lambda r: r[0] <= 200),
-        ("swap_candidates", ["tree_id", "i", "j"], lambda r: r[0] <= 200),
-        ("profile_similarity", ["a_pos", "b_pos", "similarity"], None),
-    ],
-)
-def test_rows_that_the_sql_covers(spark, more, name, columns, part):
-    if part:
-        got = [r for r in rows_of(spark, name, columns, MORE) if part(r)]
-    else:
-        got = [r[2:] for r in rows_of(spark, name, ["a_id", "b_id", *columns], MORE) if r[:2] == ("src1", "src2")]
-    assert sorted(got) == [pytest.approx(r) for r in sorted(sql_rows(more, name, columns))]
+def every_path(model, x):
+    """(log probability, path, states) of every way through a model, by recursion."""
+    size, out = len(model.match), []
 
+    def go(state, k, t, p, path):
+        if k == size and t == len(x):
+            out.append((p, path))
+        move = dict(zip(hmm.TRANSITIONS, model.transitions[k]))
+        if k < size and t < len(x):
+            go("m", k + 1, t + 1, p + move[state + "m"] + model.match[k, x[t]], path + "M")
+        if t < len(x) and state != "d":
+            go("i", k, t + 1, p + move[state + "i"] + model.insert[k, x[t]], path + "I")
+        if k < size and state != "i":
+            go("d", k + 1, t, p + move[state + "d"], path + "D")
 
-def test_no_row_of_a_table_is_left_out(spark, more):
-    one = lambda q: more.execute(q).fetchone()[0]
-    n = lambda name: registry.QUERIES[name](spark, MORE)
-    assert {r["p_partkey"] for r in n("tiles").collect()} == {k for (k,) in more.execute("SELECT p_partkey FROM part").fetchall()}
-    assert n("tree_statistics").count() == one("SELECT count(DISTINCT o_custkey) FROM orders")
-    assert n("swap_candidates").select("tree_id").distinct().count() == one("SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey HAVING count(*) > 2)")
-    keys = sorted(k for (k,) in more.execute("SELECT o_orderkey FROM orders").fetchall())
-    size = -(-len(keys) // 7)
-    assert sorted(rows_of(spark, "contiguous_batches", ["task", "batch", "device"], MORE)) == [(k, i // size, i % 4) for i, k in enumerate(keys)]
+    go("m", 0, 0, 0.0, "")
+    return [(p, w) for p, w in out if p > -np.inf]
 
 
-def test_every_source_has_a_model_and_meets_every_other(spark):
-    from strandloom.operators import hmm
-    from strandloom.plans.views import LENGTH, msa
+@pytest.mark.parametrize("gaps", [False, True])
+def test_models_equal_the_sum_over_all_paths(gaps):
+    rng = np.random.default_rng(5)
+    for size, length in ((1, 1), (2, 3), (3, 2), (3, 4), (2, 0)):
+        model = random_model(rng, size, gaps)
+        x = rng.integers(0, 22, length)
+        ways = every_path(model, x)
+        if not ways:
+            assert hmm.forward_batch(model, x[None, :])[0] == -math.inf
+            continue
+        total = math.log(sum(math.exp(p) for p, _ in ways))
+        score, path = hmm.viterbi_batch(model, x[None, :])
+        assert score[0] == pytest.approx(max(ways)[0]) and path[0] == max(ways)[1]
+        assert hmm.forward_batch(model, x[None, :])[0] == pytest.approx(total)
+        back = hmm.backward_rows(model, x[None, :])
+        assert back[0][0][0, 0] == pytest.approx(total)
+        text = "".join(ALPHABET[c] for c in x)
+        emitted, taken, likelihood, n = hmm.expected_counts(model, [text, text])
+        assert likelihood == pytest.approx(2 * total) and n == 2
+        want, moves = np.zeros_like(emitted), np.zeros_like(taken)
+        for p, w in ways:
+            share, state, k, t = 2 * math.exp(p - total), "m", 0, 0
+            for c in w.lower():
+                moves[k, hmm.TRANSITIONS.index(state + c)] += share
+                k, t, state = k + (c != "i"), t + (c != "d"), c
+                if c == "m":
+                    want[k - 1, x[t - 1]] += share
+        assert np.allclose(emitted, want) and np.allclose(taken, moves)
 
-    rows = msa(spark, SMALL).collect()
-    sources = sorted({r["msa_id"] for r in rows})
+
+@data
+def test_words_against_their_own_models(spark):
+    rows = views.msa(spark, SMALL).where("seq_idx % 97 = 0").collect()
     got = {r["seq_idx"]: r for r in registry.QUERIES["hmm_scores"](spark, SMALL).collect()}
-    assert got.keys() == {r["seq_idx"] for r in rows}
-    for s in (sources[0], sources[-1]):
-        model = hmm.collect_model(hmm.emissions(msa(spark, SMALL).where(f"msa_id = '{s}'")), LENGTH)
-        for r in (r for r in rows if r["msa_id"] == s):
-            score, path = hmm.viterbi(model, r["sequence"])
-            assert (got[r["seq_idx"]]["msa_id"], got[r["seq_idx"]]["path"]) == (s, path) and got[r["seq_idx"]]["viterbi"] == pytest.approx(score, abs=1e-6)
-    pairs = registry.QUERIES["profile_similarity"](spark, SMALL).groupBy("a_id", "b_id").count().collect()
-    assert sorted((r["a_id"], r["b_id"]) for r in pairs) == [(a, b) for a in sources for b in sources if a < b]
-    assert {r["count"] for r in pairs} == {LENGTH * LENGTH}
-
-
-def test_pairs_and_trees_of_whole_families(spark, more):
-    from strandloom.plans.views import msa
-
-    families = {}
-    for r in msa(spark, MORE).collect():
-        families.setdefault(r["msa_id"], {})[r["seq_idx"]] = r["sequence"]
-    want = {(s, i, j): round(sum(x != y for x, y in zip(a, b)) / len(a), 6) for s, f in families.items() for i, a in f.items() for j, b in f.items() if i < j}
-    got = {r[:3]: r[3] for r in rows_of(spark, "msa_distances", ["msa_id", "i", "j", "distance"], MORE)}
-    assert got == pytest.approx(want)
-    assert rows_of(spark, "jukes_cantor_distances", ["msa_id", "i", "j"], MORE).__len__() == len(want)
-    for name in ("msa_distances", "jukes_cantor_distances"):
-        all_rows = {r[:3]: r[3] for r in rows_of(spark, name, ["msa_id", "i", "j", "distance"], MORE)}
-        part = sql_rows(more, name, ["msa_id", "i", "j", "distance"])
-        assert {r[:3]: all_rows[r[:3]] for r in part} == pytest.approx({r[:3]: r[3] for r in part})
-    leaves = registry.QUERIES["tree_nodes"](spark, MORE).where("name is not null").collect()
-    assert sorted((r["tree_id"], r["name"]) for r in leaves) == sorted((s, f"seq{i}") for s, f in families.items() for i in f)
+    models = hmm.collect_models(hmm.emissions(views.msa(spark, SMALL)))
+    assert len(got) == views.msa(spark, SMALL).count()
+    for r in rows[:200]:
+        score, path = hmm.viterbi(models[r["msa_id"]], r["sequence"])
+        x = got[r["seq_idx"]]
+        assert (x["msa_id"], x["path"]) == (r["msa_id"], path) and x["viterbi"] == pytest.approx(score, abs=1e-6) and x["forward"] == pytest.approx(hmm.forward(models[r["msa_id"]], r["sequence"]), abs=1e-6)
+
+
+def test_training_of_many_models(spark):
+    rng = np.random.default_rng(7)
+    models = {k: random_model(rng, 4) for k in "ab"}
+    rows = [(k, "".join(rng.choice(list("ARND"), rng.integers(2, 7)))) for k in "ab" for _ in range(30)]
+    df = spark.createDataFrame(rows + [("c", "AAA"), ("a", None)], "msa_id string, sequence string").repartition(3)
+    trained, seen = hmm.train(df, models, rounds=4)
+    for k in "ab":
+        own, likelihood = hmm.baum_welch(models[k], [s for x, s in rows if x == k] + ([""] if k == "a" else []), rounds=4)
+        assert seen[k] == pytest.approx(likelihood) and all(b >= a - 0.05 for a, b in zip(likelihood, likelihood[1:])) and likelihood[-1] > likelihood[0]
+        assert np.allclose(trained[k].match, own.match) and np.allclose(trained[k].transitions, own.transitions)
+
+
+BODY = """HMMER3/f
+NAME  tiny
+LENG  2
+HMM A C
+  m->m m->i m->d i->m i->i d->m d->d
+  COMPO 0.7 0.7
+  0.7 0.7
+  0.1 2.5 4.0 0.6 0.8 0.0 *
+  1 0.2 1.8
+  0.7 0.7
+  0.1 2.5 4.0 0.6 0.8 0.6 0.8
+  2 1.8 0.2
+  0.7 0.7
+  0.1 2.5 * 0.6 0.8 0.0 *
+//
+"""
+
+
+def test_search_with_a_model_from_a_file(spark, tmp_path):
+    from strandloom.sources import models
+
+    (tmp_path / "x.hmm").write_text(BODY)
+    body = models.read_bodies(spark, str(tmp_path)).first().asDict()
+    model = hmm.Model.from_body(body)
+    found = {r["sequence"]: r for r in hmm.search(spark.createDataFrame([("AC",), ("CA",), ("AAC",), ("W",), ("",)], "sequence string"), model).collect()}
+    assert found["AC"]["path"] == "MM" and found["AC"]["viterbi"] == pytest.approx(-0.1 - 0.2 - 0.1 - 0.2)
+    assert found["AC"]["viterbi"] > found["CA"]["viterbi"] and found["W"]["viterbi"] == -math.inf and found["W"]["path"] == ""
+    for s in ("CA", "AAC"):
+        ways = every_path(model, hmm.encode(s))
+        assert found[s]["viterbi"] == pytest.approx(max(ways)[0]) and found[s]["forward"] == pytest.approx(math.log(sum(math.exp(p) for p, _ in ways)))
+
+
+def test_pairs_in_blocks_equal_the_slow_ones(spark, monkeypatch):
+    monkeypatch.setattr(pairwise, "BLOCK", 4)
+    rng = random.Random(3)
+    rows = [(f, i, "".join(rng.choices("AC-", k=rng.randint(0, 9)))) for f, n in (("x", 19), ("y", 3), ("z", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "msa_id string, seq_idx int, sequence string")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in pairwise.pairwise(df).collect()}
+    want = {}
+    for (f, i, a), (g, j, b) in itertools.combinations(rows, 2):
+        if f == g:
+            n = max(len(a), len(b))
+            pairs = list(zip(a.ljust(n, "-"), b.ljust(n, "-")))
+            want[f, i, j] = (sum(x != y for x, y in pairs), sum(x != y and "-" not in (x, y) for x, y in pairs), n)
+    assert got == want
+    with pytest.raises(ValueError, match="x: 19 rows"):
+        pairwise.pairwise(df, most=10)
+
+
+def test_trees_equal_the_slow_ones():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 5, 9):
+        d = rng.integers(1, 6, (n, n)).astype(float)
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        names = [f"s{i}" for i in range(n)]
+        alive, size, height, text = list(range(n)), [1] * n, [0.0] * n, list(names)
+        dist = {(i, j): d[i, j] for i in range(n) for j in range(n)}
+        while len(alive) > 1:
+            a, b = min(itertools.combinations(alive, 2), key=lambda p: dist[p])
+            new = len(size)
+            size.append(size[a] + size[b])
+            height.append(dist[a, b] / 2)
+            text.append(f"({text[a]}:{height[new] - height[a]:.6f},{text[b]}:{height[new] - height[b]:.6f})")
+            alive = [x for x in alive if x not in (a, b)]
+            for x in alive:
+                dist[x, new] = dist[new, x] = (dist[a, x] * size[a] + dist[b, x] * size[b]) / size[new]
+            alive.append(new)
+        assert trees.newick(trees.upgma(names, d)) == text[alive[0]] + ";"
+        # neighbour joining gives back the distances of a tree
+        tree = trees.upgma(names, d)
+        for x in tree:
+            x["branch_length"] = float(rng.integers(1, 9))
+        apart = path_lengths(tree, names)
+        assert np.allclose(path_lengths(trees.neighbour_joining(names, apart), names), apart)
+        rows = {s: "".join(rng.choice(list("ACG-"), rng.integers(3, 6))) for s in names}
+        cost, found = trees.ancestors(tree, rows)
+        width = max(map(len, rows.values()))
+        by_column = [trees.fitch(tree, {s: (r[k] if k < len(r) else "-") for s, r in rows.items()}) for k in range(width)]
+        assert cost == sum(c for c, _ in by_column) == trees.parsimony_cost(tree, rows)
+        assert found == {i: "".join(states[i] for _, states in by_column) for i in found}
+
+
+def path_lengths(tree, names):
+    up = {}
+    for name in names:
+        at, far, seen = next(x for x in tree if x["name"] == name), 0.0, {}
+        while True:
+            seen[at["node_id"]] = far
+            if at["parent"] is None:
+                break
+            far += at["branch_length"]
+            at = tree[at["parent"]]
+        up[name] = seen
+    return np.array([[min(up[a][k] + up[b][k] for k in up[a].keys() & up[b].keys()) for b in names] for a in names])
+
+
+@data
+def test_trees_of_whole_families(spark):
+    leaves = registry.QUERIES["tree_nodes"](spark, SMALL).where("name is not null").collect()
+    assert sorted((r["tree_id"], r["name"]) for r in leaves) == sorted((r["msa_id"], f"seq{r['seq_idx']}") for r in views.families(spark, SMALL).collect())
     for name in ("upgma_trees", "neighbour_joining_trees"):
-        for r in registry.QUERIES[name](spark, MORE).collect():
-            assert r["newick"].count("seq") == len(families[r["tree_id"]]) and r["newick"].count("(") == r["newick"].count(")")
+        for r in registry.QUERIES[name](spark, SMALL).collect():
+            assert r["newick"].count("(") == r["newick"].count(")") and r["newick"].endswith(";")
+    with pytest.raises(ValueError, match="at most 3"):
+        trees.tree_texts(views.families(spark, SMALL), most=3)
 
 
 def test_text_of_a_deep_tree():
-    from strandloom.operators import trees
-
     tree = trees.upgma([f"s{i}" for i in range(3)], trees.distances(["AAAA", "AAAC", "CCCC"]))
     assert trees.newick(tree) == "(s2:0.437500,(s0:0.125000,s1:0.125000):0.312500);"
     deep = [{"node_id": 0, "parent": None, "name": "s0", "branch_length": 1.0, "children": []}]
