@@ -40,7 +40,7 @@ def parse(text: Column | str, strict: bool = True) -> Column:
     """Array of (n, op); null where the text isn't one of counts and ops only. Not strict: an unknown letter counts as M."""
     text = _col(text)
     pattern = r"(\d+)([MIDNSHP=X])" if strict else r"(\d+)(\D)"
-    whole = text.rlike(r"^(?:\d+[MIDNSHP=X])*$" if strict else r"^(?:\d+\D)*$")
+    whole = F.regexp_replace(text, pattern, "") == ""  # nothing is left between elements; a repeated group would recurse for each
     n = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     op = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     found = F.zip_with(n, op, lambda a, b: F.struct(a.cast("int").alias("n"), (b if strict else F.when(F.instr(F.lit(OPS), b) > 0, b).otherwise("M")).alias("op")))

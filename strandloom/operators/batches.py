@@ -55,3 +55,35 @@ def device_memory(m: Column | str, n: Column | str) -> Column:
     """Bytes for a pair's matrix, sequences, scores and a buffer."""
     m, n = (F.col(x) if isinstance(x, str) else x for x in (m, n))
     return 4 * (m + 1) * (n + 1) + m + n + 24 * 24 * 4 + (1 << 20)
+
+
+# How much faster than a plain loop each kernel is taken to be, and the tilings of known devices.
+SPEEDUP = {"Scalar": 1.0, "Simd": 8.0, "Banded": 4.0, "GpuFull": 50.0, "GpuTiled": 30.0}
+TILINGS = {
+    "V100": {"tile": 32, "batch": 256, "shared_kb": 96, "double_buffer": True},
+    "A100": {"tile": 32, "batch": 512, "shared_kb": 192, "double_buffer": True},
+    "RTX3090": {"tile": 16, "batch": 128, "shared_kb": 96, "double_buffer": False},
+    "Generic": {"tile": 16, "batch": 64, "shared_kb": 48, "double_buffer": False},
+}
+TILED_BYTES, CELLS_A_SECOND = 512 << 20, 1e9
+
+
+def speedup(strategy: Column | str) -> Column:
+    """The factor of a kernel by its name; null for others."""
+    table = F.create_map(*(F.lit(x) for kv in SPEEDUP.items() for x in kv))
+    return table[F.col(strategy) if isinstance(strategy, str) else strategy]
+
+
+def tiling_statistics(pairs: DataFrame, m: str, n: str, device: str = "Generic") -> DataFrame:
+    """pairs with tiles, tile_bytes (cells of four bytes, a tile having a margin of one on each side), beneficial, estimated_ms and tiles_a_second on a device of TILINGS."""
+    size = TILINGS[device]["tile"]
+    count = F.ceil(F.col(m) / size) * F.ceil(F.col(n) / size)
+    ms = (F.col(m) + 1).cast("double") * (F.col(n) + 1) / CELLS_A_SECOND * 1000
+    out = pairs.withColumn("tiles", count.cast("long")).withColumn("tile_bytes", F.col("tiles") * ((size + 2) ** 2 * 4)).withColumn("estimated_ms", ms)
+    return out.withColumn("beneficial", F.col("tile_bytes") < TILED_BYTES).withColumn("tiles_a_second", F.col("tiles") / (F.col("estimated_ms") / 1000))
+
+
+def stream_chunk(memory_mb: Column | int) -> Column:
+    """Sequences of a chunk that a memory budget allows, at a kB each, 100 at least."""
+    mb = memory_mb if isinstance(memory_mb, Column) else F.lit(memory_mb)
+    return F.greatest(F.lit(100), F.floor(mb * (1 << 20) / 1000)).cast("long")

@@ -139,6 +139,22 @@ def score_profile(seqs: DataFrame, pssm: DataFrame, score: str = "pssm") -> Data
     return columns(seqs).join(near(pssm.select("msa_id", "pos", "aa", F.col(score).alias("_s"))), ["msa_id", "pos", "aa"], "left").groupBy("msa_id", "seq_idx").agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("score"))
 
 
+def score_frequency(pssm: DataFrame, least: float, score: str = "pssm") -> DataFrame:
+    """(msa_id, pos, n): residues of each column that score `least` or more."""
+    return pssm.groupBy("msa_id", "pos").agg(F.sum((F.col(score) >= least).cast("int")).alias("n"))
+
+
+def profile_consensus(pssm: DataFrame, score: str = "pssm") -> DataFrame:
+    """(msa_id, consensus): the best-scoring residue of each column, of equal ones the first by letter."""
+    best = pssm.groupBy("msa_id", "pos").agg(F.min(F.struct((-F.col(score)).alias("s"), "aa"))["aa"].alias("l"))
+    return best.groupBy("msa_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "l"))), lambda x: x["l"]), "").alias("consensus"))
+
+
+def column_score(seqs: DataFrame, pssm: DataFrame, missing: float = 0.0, score: str = "pssm") -> DataFrame:
+    """(msa_id, seq_idx, pos, aa, score): each residue's score in its column, `missing` where the profile lacks it."""
+    return columns(seqs).join(near(pssm.select("msa_id", "pos", "aa", F.col(score).alias("score"))), ["msa_id", "pos", "aa"], "left").fillna({"score": missing})
+
+
 def gapped_columns(msa: DataFrame, share: float = 0.5) -> DataFrame:
     """(msa_id, pos, gapped): whether more than `share` of the column is gap."""
     return columns(msa).groupBy("msa_id", "pos").agg((F.avg(F.col("aa").isin(*GAPS).cast("int")) > share).alias("gapped"))

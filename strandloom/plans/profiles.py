@@ -96,6 +96,8 @@ QUERIES = {
     "wide_pssm": lambda s, d: _r(pr.wide_pssm(msa(s, d), _even(s, d)), "p", "pssm"),
     "column_divergence": lambda s, d: _r(pr.divergence(pr.wide_pssm(msa(s, d), _even(s, d))), "entropy", "kl"),
     "profile_scores": lambda s, d: _r(pr.score_profile(msa(s, d), pr.pipeline_pssm(msa(s, d))), "score"),
+    "score_frequency": lambda s, d: pr.score_frequency(pr.pipeline_pssm(msa(s, d)), 0.5),
+    "profile_consensus": lambda s, d: pr.profile_consensus(pr.weighted_counts(msa(s, d), _even(s, d)), "f"),
     "gapped_columns": lambda s, d: pr.gapped_columns(msa(s, d), 0.02),
     "profile_similarity": _similarity,
     "msa_distances": lambda s, d: _r(pr.distance_matrix(families(s, d)), "distance"),
@@ -116,6 +118,8 @@ QUERIES = {
     "tree_nodes": lambda s, d: trees.build_trees(families(s, d), "upgma"),
 }
 SQL = {
+    "score_frequency": f"WITH {COLS}, {_PSSM} SELECT msa_id, pos, sum((pssm >= 0.5)::INT)::BIGINT AS n FROM ps GROUP BY 1, 2",
+    "profile_consensus": f"WITH {COLS}, g AS (SELECT msa_id, unnest(range(0, width))::INT AS pos FROM sz), g20 AS (SELECT msa_id, pos, unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS aa FROM g), b AS (SELECT msa_id, pos, aa, row_number() OVER (PARTITION BY msa_id, pos ORDER BY coalesce(c, 0) DESC, aa) AS r FROM g20 LEFT JOIN cnt USING (msa_id, pos, aa)) SELECT msa_id, string_agg(aa, '' ORDER BY pos) AS consensus FROM b WHERE r = 1 GROUP BY 1",
     "jukes_cantor_distances": f"WITH {PAIRS} SELECT msa_id, i, j, round(-0.75 * ln(greatest(1 - 4 * changed / n / 3, 0.001)), 6) + 0.0 AS distance FROM df",
     "dirichlet_pssm": f"WITH {COLS}, {_WIDE} SELECT msa_id, pos, aa, round(ln(greatest(p * 24, 0.001)) * 0.8 + ln(1 / 24.0) * 0.2, 6) AS score FROM wp",
     "msa_consensus": f"WITH {COLS}, b AS (SELECT msa_id, pos, aa, c, row_number() OVER (PARTITION BY msa_id, pos ORDER BY c DESC, aa) AS r FROM cnt) SELECT b.msa_id, string_agg(CASE WHEN c * 1.0 / n >= 0.1 THEN aa ELSE 'X' END, '' ORDER BY pos) AS consensus FROM b JOIN sz USING (msa_id) WHERE r = 1 GROUP BY 1",

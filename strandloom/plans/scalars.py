@@ -76,6 +76,31 @@ def chunked_reads(spark, d):
     return batches.chunks(seqs(spark, d).where(F.length("seq") >= LEAST_LENGTH), "doc_id", 64).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
+def tiling_statistics(spark, d):
+    pairs = read(spark, d, "part").select("p_partkey", (F.col("p_size") * 5).alias("m"), (F.col("p_partkey") % 97 + 1).alias("n"))
+    return batches.tiling_statistics(pairs, "m", "n", "A100").select("p_partkey", "tiles", "tile_bytes", "beneficial", F.round("estimated_ms", 9).alias("estimated_ms"), batches.stream_chunk(F.col("m")).alias("chunk"))
+
+
+def dna_round_trip(spark, d):
+    """Whole documents as nucleotide codes and back: what isn't a base is N."""
+    from strandloom.operators.interchange import dna_record, dna_sequence, flagged
+
+    rows = dna_sequence(dna_record(seqs(spark, d), "doc_id", "seq"))
+    rows = flagged(rows, F.when(F.instr("sequence", "NNNN") == 0, F.lit("bases")))
+    return rows.select(F.col("id").cast("long").alias("doc_id"), "sequence", "clinically_significant")
+
+
+def alignment_records(spark, d):
+    """Records of alignments whose rows are a document's residues, with gaps for A on one side and for E on the other."""
+    from strandloom.functions import cigar
+    from strandloom.operators.interchange import alignment_record
+
+    rows = seqs(spark, d).select("doc_id", "lang", F.replace("seq", F.lit("A"), F.lit("-")).alias("aligned_query"), F.replace("seq", F.lit("E"), F.lit("-")).alias("aligned_subject"), (F.col("doc_id") % 300).cast("int").alias("score"))
+    rows = rows.withColumn("cigar", cigar.to_text(cigar.from_aligned("aligned_query", "aligned_subject")))
+    out = alignment_record(rows, "doc_id", "lang")
+    return out.select("query_id", "subject_id", F.round("bit_score", 6).alias("bit_score"), F.round(F.log10("evalue"), 6).alias("log_e"), F.round("identity", 6).alias("identity"), "query_end", "subject_end", "matches", "gaps")
+
+
 def interchange_records(spark, d):
     from strandloom.operators.interchange import dna_record, protein_record
 
@@ -87,11 +112,14 @@ def interchange_records(spark, d):
 
 _LOG_K, _L, _K = st.KARLIN["log_k"], st.KARLIN["lambda"], st.KARLIN["k"]
 _E = f"log10({_K} * {{n}} * exp(-{_L} * ((s * ln(2) + {_LOG_K}) / {_L})))"
-QUERIES = {f.__name__: f for f in (residue_histogram, parsed_sequences, matrix_cells, matrix_checks, pair_scores, score_statistics, node_stats, contiguous_batches, tiles, chunked_reads, interchange_records)}
+QUERIES = {f.__name__: f for f in (residue_histogram, parsed_sequences, matrix_cells, matrix_checks, pair_scores, score_statistics, node_stats, contiguous_batches, tiles, chunked_reads, tiling_statistics, dna_round_trip, alignment_records, interchange_records)}
 _IDX = lambda a, miss="NULL": f"(CASE WHEN instr('{a}', aa) > 0 THEN instr('{a}', aa) - 1 ELSE {miss} END)::INT"
 _LONG = "[" + ", ".join(f"'{x}'" for x in rs.THREE_LETTER) + "]"
 _RAW = "raw AS (SELECT n_nationkey, n_name AS s FROM nation UNION ALL SELECT r_regionkey + 100, ' ' || r_name || chr(9) FROM region), p AS (SELECT n_nationkey, upper(regexp_replace(s, '\\s', '', 'g')) AS u FROM raw), v AS (SELECT *, regexp_matches(u, '^[ARNDCEQGHILKMFPSTWYVBX*\\-]+$') AS ok FROM p)"
 SQL = {
+    "tiling_statistics": "WITH p AS (SELECT p_partkey, p_size * 5 AS m, p_partkey % 97 + 1 AS n, ceil(p_size * 5 / 32)::BIGINT * ceil((p_partkey % 97 + 1) / 32)::BIGINT AS tiles FROM part) SELECT p_partkey, tiles, tiles * 4624 AS tile_bytes, tiles * 4624 < 536870912 AS beneficial, round((m + 1) * (n + 1) / 1e6, 9) AS estimated_ms, greatest(100, floor(m * 1048576 / 1000))::BIGINT AS chunk FROM p",
+    "dna_round_trip": f"WITH {SEQS}, n AS (SELECT doc_id, regexp_replace(seq, '[^ACGT]', 'N', 'g') AS sequence FROM seqs) SELECT doc_id, sequence, instr(sequence, 'NNNN') = 0 AS clinically_significant FROM n",
+    "alignment_records": f"WITH {LETTERS}, n AS (SELECT doc_id, lang, count(*) AS n, sum((aa = 'A')::INT) AS a, sum((aa = 'E')::INT) AS e FROM letters GROUP BY 1, 2), s AS (SELECT *, ({_L} * (doc_id % 300) + {-_LOG_K}) / ln(2) AS s FROM n) SELECT doc_id::VARCHAR AS query_id, lang AS subject_id, round(greatest(s, 0), 6) AS bit_score, round({_E.format(n='1e6')}, 6) AS log_e, CASE WHEN n > a THEN 1.0::DOUBLE ELSE 0 END AS identity, (n - a + 1)::INT AS query_end, (a + 1)::INT AS subject_end, (n - a)::INT AS matches, a::INT AS gaps FROM s",
     "residue_histogram": f"WITH {LETTERS} SELECT lang, aa, count(*) AS n, {_IDX(_ALPHA)} AS idx, {_IDX(rs.BRIDGE_ALPHABET)} AS bridge, {_IDX(rs.ALPHABETICAL, '20')} AS parsimony, {_IDX(rs.NUCLEOTIDES, '4')} AS nucleotide, aa AS back, {_LONG}[{_IDX(rs.BRIDGE_ALPHABET)} + 1] AS long_name FROM letters GROUP BY lang, aa",
     "parsed_sequences": f"WITH {_RAW} SELECT n_nationkey, CASE WHEN ok THEN u END AS sequence, CASE WHEN u = '' THEN 'EmptySequence' WHEN NOT ok THEN 'InvalidAminoAcid' END AS error, CASE WHEN ok THEN length(u) END::INT AS size FROM v",
     "matrix_cells": f"WITH k AS (SELECT {SCORES} AS m), i AS (SELECT unnest(range(1, 25)) AS i), j AS (SELECT unnest(range(1, 25)) AS j) SELECT substr('{_ALPHA}', i, 1) AS aa1, substr('{_ALPHA}', j, 1) AS aa2, m[(i - 1) * 24 + j]::INT AS score FROM k, i, j",

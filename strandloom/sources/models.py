@@ -119,3 +119,15 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
         return pd.DataFrame([{c: m.get(c) for c in ("name", "length", "letters", "match", "insert", "transitions", "stats")} for m in found])
 
     return spark.read.option("lineSep", "//\n").text(path).select(run("value").alias("m")).where("m.name is not null").select("m.*")
+
+
+def emission(rows: Column | str, node: Column | str | int, residue: Column | str | int) -> Column:
+    """The number of a node and a residue's place in `match` or `insert` of read_bodies; 0 where there is none."""
+    rows = F.col(rows) if isinstance(rows, str) else rows
+    node, residue = (F.col(x) if isinstance(x, str) else F.lit(x) if isinstance(x, int) else x for x in (node, residue))
+    return F.coalesce(F.get(F.get(rows, node), residue), F.lit(0.0))
+
+
+def transition(rows: Column | str, node: Column | str | int, kind: str) -> Column:
+    """The transition of a node, one of mm mi md im ii dm dd, in `transitions` of read_bodies; 0 where there is none."""
+    return emission(rows, node, ("mm", "mi", "md", "im", "ii", "dm", "dd").index(kind))

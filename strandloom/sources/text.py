@@ -22,12 +22,12 @@ def format_of(path: Column | str) -> Column:
     return F.coalesce(table[suffix], F.lit("fasta"))
 
 
-def fasta_records(records: DataFrame, value: str = "value") -> DataFrame:
-    """(id, description, sequence) from texts that hold one record each, with or without its leading >; sequence lines are joined."""
+def fasta_records(records: DataFrame, value: str = "value", whole_header: bool = False) -> DataFrame:
+    """(id, description, sequence) from texts that hold one record each, with or without its leading >; sequence lines are joined. whole_header: the header line is the id, without a description."""
     body = F.regexp_replace(F.regexp_replace(value, r"^>", ""), "\r", "")
     rows = records.select(body.alias("body")).where(F.trim("body") != "")
     head, rest = F.substring_index("body", "\n", 1), F.when(F.instr("body", "\n") > 0, F.substring(F.col("body"), F.instr("body", "\n") + 1, F.length("body"))).otherwise("")
-    space = F.instr(head, " ")
+    space = F.lit(0) if whole_header else F.instr(head, " ")
     return rows.select(
         F.when(space > 0, F.substring(head, F.lit(1), space - 1)).otherwise(head).alias("id"),
         F.when(space > 0, F.substring(head, space + 1, F.length(head))).alias("description"),
@@ -35,9 +35,9 @@ def fasta_records(records: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, whole_header: bool = False) -> DataFrame:
     """FASTA files of any size: a record is what stands between line starts with >, so files are split between tasks."""
-    return fasta_records(spark.read.option("lineSep", "\n>").text(path))
+    return fasta_records(spark.read.option("lineSep", "\n>").text(path), whole_header=whole_header)
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:

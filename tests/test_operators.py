@@ -317,3 +317,36 @@ def test_numbered_rows(spark):
     odd = spark.createDataFrame([(None,), ("b",), ("a",)], "v string")
     assert sorted((r["_n"], r["v"]) for r in numbered(odd, "v").collect()) == [(0, None), (1, "a"), (2, "b")]
     assert sorted(contiguous(df, "v", 3).groupBy("batch").count().collect())[0]["count"] == 1667
+
+
+def test_long_cigars(spark):
+    text = "1=1X" * 60_000
+    df = spark.createDataFrame([(text, "=" * 200_000 + "ID"), ("5M3", "x"), ("M5", "x"), ("", "x")], "c string, l string")
+    got = [tuple(r) for r in df.select(F.size(cigar.parse("c")), F.size(cigar.parse("c", strict=False)), cigar.to_text(cigar.compress("l"))).collect()]
+    assert got[0] == (120_000, 120_000, "200000=1I1D")
+    assert [r["n"] for r in df.where("length(c) < 9").select(cigar.parse("c").alias("n")).collect()] == [None, None, []]
+
+
+def test_interchange_and_planning(spark):
+    from strandloom.operators import batches, interchange
+    from strandloom.operators.matrices import GapPenalty
+    from strandloom.sources import models, text
+
+    records = spark.createDataFrame([("a", [0, 3, 2, 1, 4, 9], "DNA"), ("b", [1], "Protein")], "id string, codes array<int>, type string")
+    assert [r["sequence"] for r in interchange.dna_sequence(records).collect()] == ["ATGCNN", ""]
+    twice = interchange.flagged(interchange.flagged(records, F.lit("x")), F.when(F.col("id") == "a", "y"))
+    assert [(r["clinical_flags"], r["clinically_significant"]) for r in twice.collect()] == [(["x", "y"], True), (["x"], True)]
+    assert not interchange.flagged(records, F.lit(None).cast("string")).first()["clinically_significant"]
+    row = interchange.matrix_record(spark, blosum62(), GapPenalty.strict())
+    assert row.first()["gap_open"] == -16 and (interchange.record_matrix(row)["BLOSUM62"].rows == blosum62().rows).all()
+    other = spark.createDataFrame([("odd", [[1]])], "name string, scores array<array<int>>")
+    assert interchange.record_matrix(other)["odd"].name == "BLOSUM62"
+    one = spark.range(1).select(batches.speedup(F.lit("GpuFull")), batches.speedup(F.lit("?")), batches.stream_chunk(0), batches.stream_chunk(1)).first()
+    assert list(one) == [50.0, None, 100, 1048]
+    body = spark.createDataFrame([([[0.5, -1.0]], [[-0.1] * 7])], "match array<array<double>>, transitions array<array<double>>")
+    assert list(body.select(models.emission("match", 0, 1), models.emission("match", 3, 0), models.transition("transitions", 0, "dd")).first()) == [-1.0, 0.0, -0.1]
+    whole = text.fasta_records(spark.createDataFrame([(">a b c\nAC\nGT",)], "value string"), whole_header=True).first()
+    assert tuple(whole) == ("a b c", None, "ACGT")
+    msa = spark.createDataFrame([("m", 0, "AW")], "msa_id string, seq_idx int, sequence string")
+    table = spark.createDataFrame([("m", 0, "A", 2.0)], "msa_id string, pos int, aa string, pssm double")
+    assert sorted(r["score"] for r in profile.column_score(msa, table, -4.0).collect()) == [-4.0, 2.0]
