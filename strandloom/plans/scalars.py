@@ -119,7 +119,7 @@ _RAW = "raw AS (SELECT n_nationkey, n_name AS s FROM nation UNION ALL SELECT r_r
 SQL = {
     "tiling_statistics": "WITH p AS (SELECT p_partkey, p_size * 5 AS m, p_partkey % 97 + 1 AS n, ceil(p_size * 5 / 32)::BIGINT * ceil((p_partkey % 97 + 1) / 32)::BIGINT AS tiles FROM part) SELECT p_partkey, tiles, tiles * 4624 AS tile_bytes, tiles * 4624 < 536870912 AS beneficial, round((m + 1) * (n + 1) / 1e6, 9) AS estimated_ms, greatest(100, floor(m * 1048576 / 1000))::BIGINT AS chunk FROM p",
     "dna_round_trip": f"WITH {SEQS}, n AS (SELECT doc_id, regexp_replace(seq, '[^ACGT]', 'N', 'g') AS sequence FROM seqs) SELECT doc_id, sequence, instr(sequence, 'NNNN') = 0 AS clinically_significant FROM n",
-    "alignment_records": f"WITH {LETTERS}, n AS (SELECT doc_id, lang, count(*) AS n, sum((aa = 'A')::INT) AS a, sum((aa = 'E')::INT) AS e FROM letters GROUP BY 1, 2), s AS (SELECT *, ({_L} * (doc_id % 300) + {-_LOG_K}) / ln(2) AS s FROM n) SELECT doc_id::VARCHAR AS query_id, lang AS subject_id, round(greatest(s, 0), 6) AS bit_score, round({_E.format(n='1e6')}, 6) AS log_e, CASE WHEN n > a THEN 1.0::DOUBLE ELSE 0 END AS identity, (n - a + 1)::INT AS query_end, (a + 1)::INT AS subject_end, (n - a)::INT AS matches, a::INT AS gaps FROM s",
+    "alignment_records": f"WITH {LETTERS}, n AS (SELECT doc_id, lang, count(*) AS n, sum((aa = 'A')::INT) AS a, sum((aa = 'E')::INT) AS e FROM letters GROUP BY 1, 2), s AS (SELECT *, ({_L} * (doc_id % 300) + {-_LOG_K}) / ln(2) AS s FROM n) SELECT doc_id::VARCHAR AS query_id, lang AS subject_id, round(greatest(s, 0), 6) AS bit_score, round({_E.format(n='1e6')}, 6) AS log_e, CASE WHEN n > a THEN 1.0::DOUBLE ELSE 0 END AS identity, (n - a + 1)::INT AS query_end, (n - e + 1)::INT AS subject_end, (n - a)::INT AS matches, a::INT AS gaps FROM s",
     "residue_histogram": f"WITH {LETTERS} SELECT lang, aa, count(*) AS n, {_IDX(_ALPHA)} AS idx, {_IDX(rs.BRIDGE_ALPHABET)} AS bridge, {_IDX(rs.ALPHABETICAL, '20')} AS parsimony, {_IDX(rs.NUCLEOTIDES, '4')} AS nucleotide, aa AS back, {_LONG}[{_IDX(rs.BRIDGE_ALPHABET)} + 1] AS long_name FROM letters GROUP BY lang, aa",
     "parsed_sequences": f"WITH {_RAW} SELECT n_nationkey, CASE WHEN ok THEN u END AS sequence, CASE WHEN u = '' THEN 'EmptySequence' WHEN NOT ok THEN 'InvalidAminoAcid' END AS error, CASE WHEN ok THEN length(u) END::INT AS size FROM v",
     "matrix_cells": f"WITH k AS (SELECT {SCORES} AS m), i AS (SELECT unnest(range(1, 25)) AS i), j AS (SELECT unnest(range(1, 25)) AS j) SELECT substr('{_ALPHA}', i, 1) AS aa1, substr('{_ALPHA}', j, 1) AS aa2, m[(i - 1) * 24 + j]::INT AS score FROM k, i, j",
