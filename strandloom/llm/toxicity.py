@@ -6,6 +6,7 @@ import re
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -191,30 +192,59 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["i", "y", "words", "counts"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, id_col: str = "doc_id", text_col: str = "text") -> SubwordBag:
-    """Fit on a bounded sample of the labelled rows that aren't held out.
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(weights, bias) of the model of all bags that come, in order of their ids."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    got = pa.Table.from_batches(held).sort_by("i").combine_chunks()
+    words, counts = got.column("words").combine_chunks(), got.column("counts").combine_chunks()
+    code = words.flatten().dictionary_encode()
+    place, n = code.indices.to_numpy().astype(np.int32), counts.flatten().to_numpy().astype(np.float32)
+    ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))
+    bags = list(zip(np.split(place, ends[:-1]), np.split(n, ends[:-1])))
+    weights, bias = SubwordBag().fit_bags(code.dictionary.to_pylist(), bags, got.column("y").to_pylist()).weights()
+    yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
-    Of each class of the labelled rows that have a text, of whatever length, the rows with the smallest hash of their id
-    are taken, `toxic` and `clean` at most. Only ids of the sample are broadcast. Whole texts become counts of words on the
-    executors, and those counts reach the driver. A repeated id stands for its smallest text; it is toxic if any label
-    says so. Null ids and null labels teach nothing. Without rows of both classes only the share of toxic ones is learned.
-    """
+
+@dataclass(frozen=True)
+class Weights:
+    """What scoring needs of a fitted model."""
+
+    buckets: np.ndarray
+    bias: float
+
+    def weights(self) -> tuple[np.ndarray, float]:
+        return self.buckets, self.bias
+
+
+def sample_bags(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(i, y, words, counts): the labelled rows that a model is fitted on, each whole text as its distinct words and their counts; see fit_toxicity."""
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.max("toxic").cast("int").alias("y"))
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     known = known.join(texts.select("i"), "i", "left_semi")
     order = [F.xxhash64(F.lit("sample"), "i"), F.col("i")]
     chosen = known.where("y = 1").orderBy(*order).limit(toxic).unionByName(known.where("y = 0").orderBy(*order).limit(clean))
     rows = texts.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y"))
-    got = rows.mapInArrow(_bags, "i long, y int, words array<string>, counts array<int>").toArrow().sort_by("i").combine_chunks()
-    words, counts = got.column("words").combine_chunks(), got.column("counts").combine_chunks()
-    code = words.flatten().dictionary_encode()
-    place, n = code.indices.to_numpy().astype(np.int32), counts.flatten().to_numpy().astype(np.float32)
-    ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)) if len(words) else np.empty(0, np.int64)
-    bags = list(zip(np.split(place, ends[:-1]), np.split(n, ends[:-1]))) if len(words) else []
-    return SubwordBag().fit_bags(code.dictionary.to_pylist(), bags, got.column("y").to_pylist())
+    return rows.mapInArrow(_bags, "i long, y int, words array<string>, counts array<int>")
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, id_col: str = "doc_id", text_col: str = "text") -> Weights:
+    """Fit on a bounded sample of the labelled rows that aren't held out.
+
+    Of each class of the labelled rows that have a text, of whatever length, the rows with the smallest hash of their id
+    are taken, `toxic` and `clean` at most. Only ids of the sample are broadcast. Whole texts become counts of words where
+    they are read, one task trains on these, and the weights reach the driver. A repeated id stands for its smallest
+    text; it is toxic if any label says so. Null ids and null labels teach nothing. Without rows of both classes only the
+    share of toxic ones is learned.
+    """
+    row = sample_bags(docs, labels, toxic, clean, id_col, text_col).repartition(1).mapInArrow(_trained, "weights binary, bias double").first()
+    if row is None:
+        return Weights(*SubwordBag().fit_bags([], [], []).weights())
+    return Weights(np.frombuffer(row["weights"], dtype=np.float32), row["bias"])
 
 
-def score_toxicity(docs: DataFrame, model: SubwordBag, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Weights | SubwordBag, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with held_out, score (0 to 1, higher where toxic is likelier) and predicted (1 from threshold on).
 
     Every whole text is scored: the mean over all its subwords, whatever its length. Null texts count as empty; texts

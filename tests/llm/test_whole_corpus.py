@@ -29,7 +29,7 @@ def test_terms_far_from_an_entity(spark):
 
 
 def test_long_texts_teach_and_missing_ones_leave_the_sample_to_others(spark):
-    from strandloom.llm.toxicity import fit_toxicity, score_toxicity
+    from strandloom.llm.toxicity import fit_toxicity, sample_bags, score_toxicity
 
     rng = random.Random(9)
     some = lambda n: " ".join(f"w{rng.randrange(50)}" for _ in range(n))
@@ -37,21 +37,10 @@ def test_long_texts_teach_and_missing_ones_leave_the_sample_to_others(spark):
     rows += [(i, None, "", "", 0) for i in range(1000, 1400)]
     labels = [(i, int(i % 4 == 0)) for i in range(3000)]  # no document from 1400 on
     df, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
-    seen = {}
-
-    def spy(self, known, docs, labels, **kw):
-        seen["n"] = (sum(labels), len(labels) - sum(labels))
-        seen["long"] = sum(n.sum() > 300 for _, n in docs)
-        return fit(self, known, docs, labels, **kw)
-
-    from strandloom.llm.toxicity import SubwordBag
-
-    fit, SubwordBag.fit_bags = SubwordBag.fit_bags, spy
-    try:
-        model = fit_toxicity(df, marks, toxic=30, clean=80)
-    finally:
-        SubwordBag.fit_bags = fit
-    assert seen["n"] == (30, 80) and seen["long"] > 30
+    bags = sample_bags(df, marks, toxic=30, clean=80).collect()
+    assert sorted(r["y"] for r in bags) == [0] * 80 + [1] * 30
+    assert sum(sum(r["counts"]) > 300 for r in bags) > 30
+    model = fit_toxicity(df, marks, toxic=30, clean=80)
     assert score_toxicity(df, model).where("predicted = 1").count() > 0
 
 
