@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the whole row as _row: what a stage adds can't clash with any column of docs."""
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    """doc_id, text, and all other columns as _row: what a stage adds can't clash with any column of docs."""
+    more = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(more or [F.lit(0).alias("_")])).alias("_row"))
 
 
 def _unpacked(rows: DataFrame, docs: DataFrame, changed: dict | None = None) -> DataFrame:
-    """The columns of docs from _row, some of them changed."""
-    return rows.select(*((changed or {}).get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+    """The columns of docs, some of them changed."""
+    changed = {"doc_id": F.col("doc_id"), "text": F.col("text")} | (changed or {})
+    return rows.select(*((changed[c] if c in changed else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     from strandloom.llm.line_dedup import dedup_lines
 
     rows = dedup_lines(_packed(docs))
-    return _unpacked(rows, docs, {"text": F.col("text"), "n_chars": F.length("text").cast("long")})
+    return _unpacked(rows, docs, {"n_chars": F.length("text").cast("long")})
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
