@@ -70,3 +70,26 @@ def test_no_documents(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{d}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_repeated_rows_and_long_texts(spark, folder):
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+
+    d, rows, _ = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id > 390")
+    long = spark.createDataFrame([(5001, " ".join(f"z{k % 7919}" for k in range(40_000)), "en", "s", 0), (5002, None, "en", "s", 0), (None, "no id at all", "en", "s", 0)], DOCS)
+    docs = docs.unionByName(long).unionByName(long)
+    for c in ("_row", "_k", "_key", "score", "predicted", "held_out", "n_lines", "_matches", "contaminated", "token_ids", "a.b"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    before = {r["doc_id"] for r in docs.collect()}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert all(r["score"] == r["a.b"] == "mine" for r in kept)
+        times = sum(r["doc_id"] == 5001 for r in kept)
+        assert times == (1 if name == "n-gram Jaccard join" else 2), name  # rows equal in id and text are copies
+        assert sum(r["doc_id"] == 5002 for r in kept) == 2 and any(r["doc_id"] is None for r in kept)
+        assert before - {r["doc_id"] for r in kept} <= {392, 2002, 2003, 3001}
+    assert cp.encode(spark, docs, d).where("not round_trip").count() == 0
