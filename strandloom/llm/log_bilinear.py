@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +19,8 @@ HOT_TOKENS, OWN_SYMBOLS = 100_000, 4_066
 HOT_BUCKETS, RARE_LENGTHS = 24, (5, 8, 11, 14, 1 << 62)
 #: Length of a symbol's vector; noise classes of a batch, noise symbols of a row, rows of a batch.
 DIM, NOISE_CLASSES, NOISE_SYMBOLS, BATCH = 16, 24, 3, 2048
-#: Training tokens of a shard, about; rows that a small shard is gone through for, and passes at most.
-SHARD_TOKENS, SHARD_ROWS, MOST_PASSES = 6_000_000, 1_000_000, 24
+#: Training tokens of a shard, about; rows that all shards together are gone through for at least, in so many passes at most.
+SHARD_TOKENS, LEAST_ROWS, MOST_PASSES = 2_000_000, 8_000_000, 24
 FLUSH_TOKENS, PART_BYTES, CHUNK = 200_000, 2 << 20, 1 << 16
 
 
@@ -197,8 +196,8 @@ class LogBilinear:
         A trigram that is frequent stands in a pass as often as its count's logarithm, with its count shared among them.
         """
         reps = 1 + np.log2(np.maximum(n, 1)).astype(np.int64)
-        rows, weight = np.repeat(np.arange(len(code)), reps), np.repeat(n / reps, reps)
-        weight = (weight / weight.mean()).astype(np.float32) if len(weight) else weight
+        rows, weight = np.repeat(np.arange(len(code), dtype=np.int32), reps), np.repeat((n / reps).astype(np.float32), reps)
+        weight /= max(1e-9, float(weight.mean(dtype=np.float64))) if len(weight) else 1
         rng = np.random.default_rng(seed)
         seen = {name: np.full_like(getattr(self, name), 1e-2) for name in self.NAMES}
         class_cdf = np.cumsum(self.p_class)
@@ -212,7 +211,7 @@ class LogBilinear:
             getattr(self, name)[at] -= np.float32(now) * g / np.sqrt(seen[name][at])
 
         for _ in range(passes):
-            order = rng.permutation(len(rows))
+            order = rng.permutation(np.arange(len(rows), dtype=np.int32))
             for lo in range(0, len(rows), BATCH):
                 now = rate * (1 - step / steps)
                 step += 1
@@ -316,24 +315,26 @@ def fit_model(counts: DataFrame, vocab: Vocabulary, tokens_seen: int) -> LogBili
 
     A shard has a hash's share of all trigrams, some million tokens' worth; all start from the same parameters, so their
     mean is a model. Sums are combined where they arise, and the parameters' rows reach the driver: they are as many as
-    symbols, not shards. A small shard is gone through more often.
+    symbols, not shards. A small corpus is gone through more often.
     """
     shards = max(1, -(-tokens_seen // SHARD_TOKENS))
     model = LogBilinear(vocab)
     sent = counts.sparkSession.sparkContext.broadcast(model)
     values = [f"v{j}" for j in range(model.dim + 1)]
 
-    def train(g: pd.DataFrame) -> pd.DataFrame:
+    def train(g: pa.Table) -> pa.Table:
         import copy
 
-        code, back = np.unique(g["code"].to_numpy(), return_inverse=True)
-        n = np.bincount(back, g["n"].to_numpy())
+        code, back = np.unique(g.column("code").to_numpy(), return_inverse=True)
+        n = np.bincount(back, g.column("n").to_numpy())
+        del back
         own = copy.deepcopy(sent.value)
-        own.fit(code, n, min(MOST_PASSES, -(-SHARD_ROWS // len(code))))
-        return pd.DataFrame(own.rows() | {"w": float(n.sum())})
+        own.fit(code, n, min(MOST_PASSES, -(-LEAST_ROWS // (shards * len(code)))))
+        rows = own.rows()
+        return pa.table(rows | {"w": np.full(len(rows["at"]), float(n.sum()))})
 
     dealt = counts.select(F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), "code", "n")
-    trained = dealt.groupBy("shard").applyInPandas(train, f"part int, at int, {', '.join(f'{v} double' for v in values)}, w double")
+    trained = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(train, f"part int, at int, {', '.join(f'{v} double' for v in values)}, w double")
     mean = trained.groupBy("part", "at").agg(*((F.sum(F.col(v) * F.col("w")) / F.sum("w")).alias(v) for v in values)).toArrow()
     return model.take({c: mean.column(c).to_numpy() for c in mean.column_names}) if mean.num_rows else model
 
