@@ -94,11 +94,21 @@ def arrow_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
             for part in by_bytes(batch):
                 got = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
-def by_bytes(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give back to the system what a worker has freed: workers are kept for later stages, whose own need comes on top."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
+def by_bytes(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batch of about `most` bytes, at least one row each, so a run of long texts never meets in one list."""
     rows = batch.num_rows
     if rows == 0:

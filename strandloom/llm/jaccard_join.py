@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import arrow_rows, as_text, by_bytes, drop_stash, join_hot, row_key, stash
+from strandloom.llm.common import arrow_rows, as_text, by_bytes, drop_stash, join_hot, row_key, stash, trim
 from strandloom.llm.components import components
 from strandloom.llm.shingles import mix, shingle_sets
 
@@ -177,6 +177,8 @@ def _verify(batches: Iterator[pa.RecordBatch], t: Fraction, n: int) -> Iterator[
                     key = row[:3]
                 held.append(row)
     yield from flush()
+    held.clear()
+    trim()
 
 
 def _blocks(members: F.Column, shingles: F.Column) -> F.Column:

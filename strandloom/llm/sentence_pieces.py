@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import as_text, by_bytes
+from strandloom.llm.common import as_text, by_bytes, trim
 
 MARK = "▁"
 #: Stands for a marker in the text itself; no UTF-8 text holds a lone surrogate.
@@ -345,6 +345,7 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                 tokens, sizes, score = _encoders[digest].encode(part.column(1).to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(tokens, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids, pa.array(score)], names=["id", "text", "token_ids", "score"])
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), as_text(text_col).alias("text"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import as_text, by_bytes, replaced
+from strandloom.llm.common import as_text, by_bytes, replaced, trim
 
 #: Labelled rows a model is fitted on at most, of each class.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
@@ -93,8 +93,8 @@ class SubwordBag:
             self.emb[:] = 0
             return self
         what, subs = [], []
-        for first in range(0, len(known), 20_000):
-            part = known[first : first + 20_000]
+        for first in range(0, len(known), 5_000):
+            part = known[first : first + 5_000]
             who, found = subwords(part)
             what.append(found[np.argsort(who, kind="stable")].astype(np.int32))
             subs.append(np.bincount(who, minlength=len(part)))
@@ -162,8 +162,8 @@ class Scorer:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.full(len(texts), float(self.bias))
-        for at in range(0, len(texts), 1024):
-            part = [words_of(t) for t in texts[at : at + 1024]]
+        for at in range(0, len(texts), 256):
+            part = [words_of(t) for t in texts[at : at + 256]]
             if len(self.memo) > MEMO_WORDS:
                 self.memo, self.sums = {}, np.zeros((0, 2))
             if new := set().union(*part) - self.memo.keys():
@@ -190,6 +190,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batch):
             found = [Counter(words_of(t)) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["i", "y", "words", "counts"])
+    trim()
 
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +204,12 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, n = code.indices.to_numpy().astype(np.int32), counts.flatten().to_numpy().astype(np.float32)
     ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))
     bags = list(zip(np.split(place, ends[:-1]), np.split(n, ends[:-1])))
-    weights, bias = SubwordBag().fit_bags(code.dictionary.to_pylist(), bags, got.column("y").to_pylist()).weights()
+    known, marks = code.dictionary.to_pylist(), got.column("y").to_pylist()
+    del held, got, words, counts, code
+    trim()
+    weights, bias = SubwordBag().fit_bags(known, bags, marks).weights()
+    del known, bags, marks, place, n
+    trim()
     yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
 
