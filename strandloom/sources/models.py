@@ -11,7 +11,7 @@ def score_token(token: Column | str) -> Column:
     """A number of a model file: * and -inf are minus infinity, *N is N / 1000, a share of 1 becomes its log odds, a whole number under -1000 is N / 1000; null for what is no number."""
     t = F.trim(F.col(token) if isinstance(token, str) else token)
     x = t.try_cast("double")
-    scaled = F.regexp_extract(t, r"^\*([+-]?\d+)$", 1).try_cast("int")
+    scaled = F.regexp_extract(t, r"^\*([+-]?\d+)$", 1).try_cast("double")
     return (
         F.when(t.isin("*", "-inf", "-Inf", "-INF"), float("-inf"))
         .when(t.rlike(r"^\*[+-]?\d+$"), scaled / 1000.0)

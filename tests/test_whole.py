@@ -281,3 +281,10 @@ def test_text_of_a_deep_tree():
         deep.append({"node_id": i, "parent": None, "name": None, "branch_length": 1.0, "children": [i - 1]})
         deep[i - 1]["parent"] = i
     assert trees.newick(deep).startswith("(" * 5000 + "s0:1.000000)")
+
+
+def test_tokens_beyond_an_int(spark):
+    from strandloom.sources import models
+
+    rows = spark.createDataFrame([("*-4000007872",), ("*4000007872",), ("*-12",), ("-4000001000",), ("*x",)], "t string")
+    assert [r[0] for r in rows.select(models.score_token("t")).collect()] == [-4000007.872, 4000007.872, -0.012, -4000001.0, None]
