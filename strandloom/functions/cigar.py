@@ -88,7 +88,7 @@ def reference_position(ops: Column | str, at: Column | str) -> Column:
 
 def from_aligned(a: Column | str, b: Column | str, left: Column | None = None, right: Column | None = None) -> Column:
     """Ops of two gapped rows: = X I D, with S clips where lengths of clipped ends are given."""
-    pair = F.zip_with(F.split(_col(a), ""), F.split(_col(b), ""), lambda x, y: F.when(x == "-", "D").when(y == "-", "I").when(x == y, "=").otherwise("X"))
+    pair = F.zip_with(F.split(_col(a), ""), F.split(_col(b), ""), lambda x, y: F.when((x == "") & (y == ""), "").when(x == "-", "D").when(y == "-", "I").when(x == y, "=").otherwise("X"))  # two empty rows split into one empty string each
     ops = compress(F.array_join(pair, ""))
     clip = lambda n: F.filter(F.array(F.struct(n.cast("int").alias("n"), F.lit("S").alias("op"))), lambda x: F.coalesce(x["n"], F.lit(0)) > 0)
     zero = F.lit(0)

@@ -288,3 +288,11 @@ def test_tokens_beyond_an_int(spark):
 
     rows = spark.createDataFrame([("*-4000007872",), ("*4000007872",), ("*-12",), ("-4000001000",), ("*x",)], "t string")
     assert [r[0] for r in rows.select(models.score_token("t")).collect()] == [-4000007.872, 4000007.872, -0.012, -4000001.0, None]
+
+
+def test_alignments_of_nothing(spark, tmp_path):
+    rows = [(1, "P"), (2, "W"), (3, "PPP www"), (4, "G"), (5, "east")]
+    spark.createDataFrame([(i, t, "en", "x") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(views.REFERENCE_KEY, "MIDDLE EAST")], "r_regionkey long, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    got = registry.QUERIES["sw_alignment_invariants"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(all(r[1:]) for r in got)
