@@ -298,6 +298,19 @@ def test_alignments_of_nothing(spark, tmp_path):
     assert len(got) == len(rows) and all(all(r[1:]) for r in got)
 
 
+def test_trees_of_thousands(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [("f", i, "".join(rng.choices("ACDE", k=12))) for i in range(5_100)]
+    nodes = trees.build_trees(spark.createDataFrame(rows, "msa_id string, seq_idx int, sequence string"), "upgma").collect()
+    assert len(nodes) == 2 * len(rows) - 1 and sum(r["parent"] is None for r in nodes) == 1
+    names, texts = [str(i) for i in range(300)], [r[2] for r in rows[:300]]
+    for make in (trees.upgma, trees.neighbour_joining):
+        want = make(names, trees.distances(texts))
+        with monkeypatch.context() as m:
+            m.setattr(trees, "IN_MEMORY", 0)
+            assert make(names, trees.distances(texts), own=True) == want
+
+
 def test_neighbour_joining_looks_at_few_rows():
     import time
 
