@@ -303,6 +303,8 @@ def test_trees_of_thousands(spark, monkeypatch):
     rows = [("f", i, "".join(rng.choices("ACDE", k=12))) for i in range(5_100)]
     nodes = trees.build_trees(spark.createDataFrame(rows, "msa_id string, seq_idx int, sequence string"), "upgma").collect()
     assert len(nodes) == 2 * len(rows) - 1 and sum(r["parent"] is None for r in nodes) == 1
+    found = trees.tree_texts(spark.createDataFrame(rows, "msa_id string, seq_idx int, sequence string"), "upgma").collect()
+    assert len(found) == 1 and found[0]["newick"].count("seq") == len(rows)
     names, texts = [str(i) for i in range(300)], [r[2] for r in rows[:300]]
     for make in (trees.upgma, trees.neighbour_joining):
         want = make(names, trees.distances(texts))
