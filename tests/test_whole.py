@@ -337,3 +337,55 @@ def test_neighbour_joining_looks_at_few_rows():
         d = np.block([[d[np.ix_(rest, rest)], row[rest][:, None]], [row[rest][None, :], np.zeros((1, 1))]])
         of = {v: c for c, v in at.items()}
         at = {of[r]: x for x, r in enumerate(rest)} | {n["node_id"]: k - 2}
+
+
+def test_sums_over_all_pairs_of_large_families(spark, monkeypatch):
+    from collections import Counter
+
+    from strandloom.operators import evolution
+
+    rng = random.Random(8)
+    rows = [("x", i, "".join(rng.choices("ACD-", k=rng.randint(2, 4)))) for i in range(20_100)] + [("y", 1, "AAAA"), ("y", 2, "AAAC"), ("z", 1, "A")]
+
+    def worth(a, b):
+        p = sum(x != y and "-" not in (x, y) for x, y in zip(a, b)) / max(len(a), len(b))
+        d = -0.75 * math.log(max(1 - 4 * p / 3, 0.001))
+        return math.log(1 - d) if p < 0.75 and d < 1 else 0.0
+
+    kinds = Counter(r[2] for r in rows if r[0] == "x")
+    want = sum(worth(a, b) * (n * m if a != b else n * (n - 1)) for a, n in kinds.items() for b, m in kinds.items()) / 2
+    df = spark.createDataFrame(rows, "msa_id string, seq_idx int, sequence string")
+    got = dict(map(tuple, evolution.pair_log_score(df).collect()))
+    assert got == {"x": pytest.approx(want), "y": pytest.approx(worth("AAAA", "AAAC"))}
+    monkeypatch.setattr(pairwise, "SUM_ROWS", 4)
+    few = dict(map(tuple, evolution.pair_log_score(df.where("seq_idx < 30")).collect()))
+    first = [r[2] for r in rows[:30]]
+    assert few["x"] == pytest.approx(sum(worth(a, b) for a, b in itertools.combinations(first, 2)))
+
+
+@pytest.mark.parametrize("sent", [1, 1 << 24])
+def test_searches_equal_the_slow_ones(spark, monkeypatch, sent):
+    from strandloom.operators import evolution, profile
+
+    monkeypatch.setattr(pairwise, "SENT_LETTERS", sent * 40)
+    monkeypatch.setattr(pairwise, "BATCH_PAIRS", 50)
+    rng = random.Random(9)
+    rows = [(f, i, "".join(rng.choices("ACé-" if i > 60 else "AC-", k=rng.randint(1, 9)))) for f, n in (("x", 120), ("y", 5), ("z", 1)) for i in range(n)] + [("z", 7, None)]
+    df = spark.createDataFrame(rows, "msa_id string, seq_idx int, sequence string").repartition(3)
+    asked = df.seq_idx % 50 == 0
+    want = {}
+    for (f, i, a), (g, j, b) in itertools.product(rows, rows):
+        if f == g and i % 50 == 0 and i != j and a and b:
+            n = max(len(a), len(b))
+            pairs = list(zip(a.ljust(n, "-"), b.ljust(n, "-")))
+            p = sum(x != y and "-" not in (x, y) for x, y in pairs) / n
+            want[f, i, j] = (sum(x != y for x, y in pairs) / n, -0.75 * math.log(max(1 - 4 * p / 3, 0.001)))
+    near = {tuple(r)[:3]: r["distance"] for r in profile.distance_searches(df, asked).collect()}
+    far = {tuple(r)[:3]: r["distance"] for r in evolution.jukes_cantor_searches(df, asked).collect()}
+    assert near == {k: pytest.approx(v[0]) for k, v in want.items()} and far == {k: pytest.approx(v[1]) for k, v in want.items()}
+
+
+def test_pairs_of_large_families_are_not_refused(spark):
+    df = spark.range(20_001).selectExpr("'x' AS msa_id", "id AS seq_idx", "'AC' AS sequence")
+    assert pairwise.pairwise(df).schema.fieldNames()[:3] == ["msa_id", "i", "j"]
+    assert pairwise.against_all(df, df.seq_idx % 10_000 == 0, "differ", lambda n, width: n / width).count() == 3 * 20_000
